@@ -65,6 +65,7 @@ BEGIN_ID, PAD_ID, END_ID, UNKNOWN_ID = 0, 1, 2, 3
 # Text model.
 MAX_FEATURES = 5000
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-4
 
 # Spellings of the comment time. Single letters accept one or two digits.
 COMMENT_TIME_PATTERNS = ("M/d/yyyy h:mm:ss a", "M/d/yy H:mm")

@@ -36,16 +36,21 @@ def parse_comment_time(
     return F.coalesce(*[_parse_ntz(text, p) for p in patterns])
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    return (end - start).cast("interval second").cast("decimal(18,6)").cast("double")
+def _micros_between(start: Column, end: Column) -> Column:
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return (seconds * F.lit(1_000_000)).cast("bigint")
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    return seconds_between(start, end) / 60.0
+    return _micros_between(start, end) / 6e7
+
+
+def hours_between(start: Column, end: Column) -> Column:
+    return _micros_between(start, end) / 3.6e9
 
 
 def days_between(start: Column, end: Column) -> Column:
-    return seconds_between(start, end) / 86400.0
+    return _micros_between(start, end) / 8.64e10
 
 
 def hour_of(ts: Column) -> Column:

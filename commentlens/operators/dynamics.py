@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commentlens.functions.joins import attach
-from commentlens.functions.times import days_between, hour_of, minutes_between
+from commentlens.functions.times import days_between, hour_of, hours_between, minutes_between
 
 OVERALL = "aggregated"
 
@@ -161,6 +161,6 @@ def hourly_curve(hourly: DataFrame, post: str = "post_id") -> DataFrame:
     return hourly.select(
         post,
         "hour",
-        (minutes_between(F.min("hour").over(whole_post), F.col("hour")) / 60.0).alias("hours_since_first"),
+        hours_between(F.min("hour").over(whole_post), F.col("hour")).alias("hours_since_first"),
         (F.col("n") / F.max("n").over(whole_post)).alias("relative_n"),
     )

@@ -49,7 +49,9 @@ def impact_scores(
         .withColumn("impact", w_reactions * F.col("reactions_norm") + w_sub * F.col("sub_comments_norm"))
         .withColumn(
             "adjusted_impact",
-            F.col("impact") * F.col("polarity") * (1 - F.col("sarcasm_score") * sarcasm_weight),
+            # Adding zero turns a negative zero into a plain one.
+            F.lit(0.0)
+            + F.col("impact") * F.col("polarity") * (1 - F.col("sarcasm_score") * sarcasm_weight),
         )
         .withColumn("date", F.to_date(ts))
     )

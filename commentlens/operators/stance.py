@@ -90,12 +90,12 @@ def stance_distribution(df: DataFrame, post: str = "post_id", stance: str = "sta
     """Count and percentage of every stance, largest first within a post.
 
     Percentages are of all rows of the post, rows without a stance included; those rows
-    have no line of their own.
+    have no line of their own. Halves round to the even digit.
     """
     counts = df.groupBy(post, stance).agg(F.count("*").alias("n"))
     share = 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(post))
     return (
-        counts.withColumn("percentage", F.round(share, 2))
+        counts.withColumn("percentage", F.bround(share, 2))
         .where(F.col(stance).isNotNull())
         .orderBy(F.col(post), F.col("n").desc(), F.col(stance))
     )

@@ -16,7 +16,6 @@ from pyspark.ml.feature import (
     RegexTokenizer,
     SQLTransformer,
     StringIndexer,
-    StringIndexerModel,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -26,6 +25,9 @@ from pyspark.sql import functions as F
 from commentlens import constants as C
 
 
+ROWS_PER_PARTITION = 2_000
+
+
 class TextModel(Estimator):
     """Fits a ``PipelineModel`` from ``text`` and a string ``label`` to ``predicted`` and ``probability``.
 
@@ -51,7 +53,7 @@ class TextModel(Estimator):
             ]
         ).fit(dataset)
         numbered = StringIndexer(
-            inputCol=self.label, outputCol="target", stringOrderType="alphabetAsc", handleInvalid="keep"
+            inputCol=self.label, outputCol="target", stringOrderType="alphabetAsc"
         ).fit(dataset)
         # Narrow and used by two fits; everything wide is left behind.
         rows = numbered.transform(counted.transform(dataset)).select("counts", "target").persist()
@@ -61,14 +63,18 @@ class TextModel(Estimator):
                 inputCol="counts", outputCol="weighted", scalingVec=DenseVector(idf.idf.toArray() + 1.0)
             )
             unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
+            # Every iteration is a job; small training sets do not need many tasks for each.
+            training = unit.transform(weights.transform(rows)).coalesce(
+                max(1, idf.numDocs // ROWS_PER_PARTITION)
+            )
             classifier = LogisticRegression(
-                featuresCol="features", labelCol="target", maxIter=self.max_iter,
-                regParam=1.0 / idf.numDocs(), elasticNetParam=0.0, standardization=False,
-            ).fit(unit.transform(weights.transform(rows)))
+                featuresCol="features", labelCol="target", maxIter=self.max_iter, tol=C.TOLERANCE,
+                regParam=1.0 / idf.numDocs, elasticNetParam=0.0, standardization=False,
+            ).fit(training)
         finally:
             rows.unpersist()
         named = IndexToString(inputCol="prediction", outputCol="predicted", labels=numbered.labels)
-        return PipelineModel([*counted.stages, weights, unit, classifier, numbered, named])
+        return PipelineModel([*counted.stages, weights, unit, classifier, named])
 
 
 def text_model(
@@ -82,14 +88,11 @@ def text_model(
 
 def as_scorer(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``scores`` (label to probability) without leaving the JVM."""
-    indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
-    inference = PipelineModel([s for s in model.stages if s is not indexer])
+    labels = next(s for s in model.stages if isinstance(s, IndexToString)).getLabels()
 
     def score(df: DataFrame) -> DataFrame:
-        names = F.array(*[F.lit(name) for name in indexer.labels])
-        chances = F.slice(vector_to_array("probability"), 1, len(indexer.labels))
-        return inference.transform(df).select(
-            *df.columns, F.map_from_arrays(names, chances).alias("scores")
-        )
+        names = F.array(*[F.lit(name) for name in labels])
+        scores = F.map_from_arrays(names, vector_to_array("probability"))
+        return model.transform(df).select(*df.columns, scores.alias("scores"))
 
     return score

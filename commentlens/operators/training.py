@@ -14,7 +14,7 @@ from commentlens.operators.rows import complete_rows, known_labels
 # A token is a run of letters, digits and underscores.
 TOKEN = r"[\p{L}\p{N}_]+"
 LOOKUP_BUCKETS = 8192
-SPLIT_STEPS = 1_000_000
+SPLIT_STEPS = 2**32
 
 
 def override_label(df: DataFrame, n: int = C.ANNOTATED_ROWS, ord: str = "ord") -> DataFrame:
@@ -47,14 +47,15 @@ def training_set_from_gold(
 def hash_split(
     df: DataFrame, key: Sequence[str], fractions: Mapping[str, float], seed: int = 42
 ) -> DataFrame:
-    """Add ``split``, drawn from a hash of ``key``.
+    """Add ``split``, drawn from an MD5 of ``seed`` and ``key``.
 
-    The draw depends on nothing but key and seed: not on partitioning, row order or retries.
-    Sizes come close to ``fractions`` but are not exact.
+    The draw depends on nothing else: not on partitioning, row order or retries, and any other
+    program can repeat it. Sizes come close to ``fractions`` but are not exact.
     """
     if abs(sum(fractions.values()) - 1.0) > 1e-9:
         raise ValueError("fractions must add up to 1")
-    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(SPLIT_STEPS))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *key))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     *first, last = fractions
     split, bound = None, 0.0
     for name in first:
@@ -118,16 +119,20 @@ def encode_fixed_length(
     """
     keep = [c for c in df.columns if c not in (col, "stance")] if keep is None else list(keep)
     words = F.slice(F.coalesce(tokens(F.col(col)), F.array().cast("array<string>")), 1, length - 2)
-    found = df.withColumn("__lookup", _lookup_table(vocab).scalar()).withColumn("__words", words)
 
     def token_id(word: Column) -> Column:
         bucket = F.pmod(F.xxhash64(word), F.lit(LOOKUP_BUCKETS)).cast("int")
         return F.coalesce(F.try_element_at(F.col("__lookup")[bucket], word), F.lit(C.UNKNOWN_ID))
 
-    used = F.size("__words") + 2
+    # Used in one place only, the table is folded into that expression instead of becoming a
+    # column of every row.
+    found = df.withColumn("__lookup", _lookup_table(vocab).scalar()).select(
+        *keep, F.transform(words, token_id).alias("__ids")
+    )
+    used = F.size("__ids") + 2
     ids = F.concat(
         F.array(F.lit(C.BEGIN_ID)),
-        F.transform("__words", token_id),
+        F.col("__ids"),
         F.array(F.lit(C.END_ID)),
         F.array_repeat(F.lit(C.PAD_ID), F.lit(length) - used),
     )
