@@ -70,6 +70,10 @@ def explanation(
     )
 
 
+def stripped(text: Column) -> Column:
+    """Without leading and trailing whitespace of any Unicode kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def is_blank(text: Column) -> Column:
-    """NULL or nothing but whitespace, of any Unicode kind."""
-    return text.isNull() | text.rlike(r"^(?U:\s*)$")
+    return text.isNull() | (stripped(text) == "")

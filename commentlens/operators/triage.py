@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentlens import constants as C
-from commentlens.functions.cues import explanation
+from commentlens.functions.cues import explanation, stripped
 
 # A detector gives, for every prompt, generated text or a (label, score) pair.
 Detector = Callable[[list[str]], Sequence[str | tuple[str, float]]]
@@ -86,7 +86,7 @@ def score_sarcasm(
 
     answer = detected.asNondeterministic()(sarcasm_prompt(content, max_chars))
     generated, label, score = (F.col(f"__answer.{n}") for n in ("generated", "label", "score"))
-    said = F.lower(F.trim(generated))
+    said = F.lower(stripped(generated))
     if not compat:
         score = F.when(F.lower(label) == sarcastic_label, score).otherwise(1.0 - score)
     return (

@@ -131,8 +131,14 @@ def read_gold(spark: SparkSession, path: str, fmt: str = "csv", header: tuple[st
 def read_comments(
     spark: SparkSession, path: str, header: tuple[str, ...] = S.REPORT, fmt: str = "parquet"
 ) -> DataFrame:
-    """Comments written by ``write_comments``; ``header`` names the file layout they came from."""
-    reader = spark.read.schema(S.comment_schema(header)).format(fmt)
-    if fmt == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=True)
-    return reader.load(path)
+    """Comments written by ``write_comments`` from files with this header."""
+    if fmt != "csv":
+        return spark.read.schema(S.comment_schema(header)).format(fmt).load(path)
+    columns = {h: S.COLUMNS[h] for h in header if h in S.COLUMNS}
+    rows = (
+        spark.read.schema(S.text_schema(("ord", *columns, "post_id")))
+        .options(header=True, quote='"', escape='"', multiLine=True, enforceSchema=False)
+        .csv(path)
+    )
+    typed = [_typed(h, kind).alias(name) for h, (name, kind) in columns.items()]
+    return rows.select("post_id", _typed("ord", "bigint").alias("ord"), *typed)

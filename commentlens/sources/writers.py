@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commentlens import schemas as S
+
 
 def write_comments(
     df: DataFrame,
     path: str,
     fmt: str = "parquet",
     by: str | None = "post_id",
-    ord: str | None = "ord",
+    order: Sequence[str | Column] = ("ord",),
     mode: str = "errorifexists",
 ) -> None:
-    """Write comments, by default into one subfolder per post, in order within each file.
+    """Write comments, by default into one subfolder per post, in ``order`` within each file.
 
     Rows of a post are brought together by a rebalance, which fills files to a size: small posts
-    share a task, and a post too large for one task is spread over several.
+    share a task, and a post too large for one task is spread over several. CSV files carry the
+    headers of the files they were read from.
     """
     if by:
-        df = df.hint("rebalance", by)
-        if ord in df.columns:
-            df = df.sortWithinPartitions(by, ord)
+        df = df.hint("rebalance", by).sortWithinPartitions(by, *order)
+    if fmt == "csv":
+        df = df.withColumnsRenamed({name: header for header, (name, _) in S.COLUMNS.items()})
     writer = df.write.mode(mode).format(fmt)
     if by:
         writer = writer.partitionBy(by)
@@ -47,4 +52,4 @@ def write_metrics(df: DataFrame, path: str, mode: str = "errorifexists") -> None
         "unique_authors",
         F.col("cls_days").alias("CLS_days"),
         F.col("growth_rate").alias("GR"),
-    ).write.mode(mode).json(path)
+    ).write.mode(mode).option("ignoreNullFields", False).json(path)

@@ -1,0 +1,96 @@
+"""Replay of published results, where they are at hand.
+
+Set COMMENTLENS_GOLDEN to a folder with the folders ``posts`` and ``human_annotation``, and one
+with ``*_classified_comments.csv`` and the reports made from them.
+"""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from commentlens import constants as C
+from commentlens.functions.times import parse_comment_time
+from commentlens.operators import dynamics, evaluation, impact, rows, training, triage
+from commentlens.sources import readers
+
+GOLDEN = os.environ.get("COMMENTLENS_GOLDEN")
+pytestmark = pytest.mark.skipif(not GOLDEN, reason="no published results at hand")
+
+
+def read(spark, reader, pattern):
+    return reader(spark, f"{GOLDEN}/{pattern}.csv")
+
+
+def per_post(df):
+    return {r["post_id"]: r["count"] for r in df.groupBy("post_id").count().collect()}
+
+
+UNCERTAIN = {"11": 115, "2": 120, "3": 128, "4": 33, "5": 101, "6": 108, "7": 27, "8": 35, "9": 39}
+SUSPECT = {"11": 71, "2": 78, "3": 83, "4": 22, "5": 60, "6": 66, "7": 17, "8": 18, "9": 16}
+
+
+def test_uncertain_comments(spark):
+    classified = read(spark, readers.read_classified, "*/*_classified_comments")
+    report = read(spark, readers.read_report, "*/*_uncertainty_sarcasm_report")
+    uncertain = triage.uncertain(rows.complete_rows(classified, ["content", "stance", "confidence"]))
+    assert per_post(uncertain) == per_post(report) == UNCERTAIN
+    # The files spell the same number with different last digits.
+    columns = ["post_id", "content", "stance", F.round("confidence", 9)]
+    assert uncertain.select(columns).exceptAll(report.select(columns)).count() == 0
+
+
+def test_suspects_and_explanations(spark):
+    report = read(spark, readers.read_report, "*/*_uncertainty_sarcasm_report")
+    suspects = read(spark, readers.read_report, "*/*_suspect_comments_explained")
+    assert per_post(triage.suspects(report)) == SUSPECT
+    for df in (report, suspects):
+        again = triage.explained(df.withColumnRenamed("explanation", "published"))
+        assert again.where(~F.col("published").eqNullSafe(F.col("explanation"))).count() == 0
+    counts = {r.post_id: r.suspect for r in triage.triage_counts(report).collect()}
+    assert counts == SUSPECT
+
+
+def test_crosstab(spark):
+    report = read(spark, readers.read_report, "*/*_uncertainty_sarcasm_report")
+    table = triage.crosstab(report, ["post_id", "stance"], "sarcasm_label", C.SARCASM_LABELS)
+    got = {(r.post_id, r.stance): (r.irony, r.non_irony) for r in table.collect()}
+    published = {
+        "4": ((2, 2), (8, 5), (5, 11)), "7": ((3, 0), (3, 8), (3, 10)),
+        "8": ((2, 2), (6, 13), (7, 5)), "9": ((1, 8), (9, 12), (4, 5)),
+    }
+    for post, pairs in published.items():
+        assert tuple(got[post, s] for s in C.STANCES) == pairs
+
+
+def test_annotations(spark):
+    annotated = read(spark, readers.read_annotations, "human_annotation/*").persist()
+    assert per_post(annotated) == {"11": 172, "2": 205, "5": 199, "6": 167, "8": 68, "9": 59}
+    m = evaluation.annotation_metrics(evaluation.confusion(evaluation.annotated_rows(annotated))).first()
+    got = [m.false_negative_rate, m.false_positive_rate, m.accuracy, m.precision, m.recall, m.f1]
+    assert got == pytest.approx([0.730769, 0.188679, 0.3875, 0.259259, 0.269231, 0.264151], abs=1e-6)
+    labels = {r.labels: r["count"] for r in training.training_set_from_annotations(annotated).groupBy("labels").count().collect()}
+    assert labels == {0: 101, 1: 343, 2: 426}
+    annotated.unpersist()
+
+
+def test_post_dynamics(spark):
+    posts = read(spark, readers.read_posts, "posts/7")
+    compat = posts.withColumn("ts", parse_comment_time(F.col("comment_at"), compat=True))
+    m = dynamics.post_metrics(compat).first()
+    assert (m.min_spread_time_minutes, m.max_spread_time_minutes, m.views, m.unique_authors) == (0.75, 8318.5, 11, 36)
+    assert (m.cls_days, m.growth_rate) == (pytest.approx(5.776736, abs=1e-6), pytest.approx(1.904189, abs=1e-6))
+    sensible = posts.withColumn("ts", parse_comment_time(F.col("comment_at")))
+    assert dynamics.hourly_counts(compat).count() == 11
+    assert dynamics.hourly_counts(sensible).count() == 12
+
+
+def test_impact(spark):
+    report = read(spark, readers.read_report, "*/11_uncertainty_sarcasm_report")
+    complete = rows.complete_rows(report, impact.INPUTS).withColumn("ts", parse_comment_time(F.col("comment_at")))
+    scores = impact.impact_scores(complete)
+    summary = impact.impact_summary(scores).first()
+    assert (summary.n_comments, summary.direction) == (115, C.WEAKENING)
+    assert summary.impact_index == pytest.approx(-1.378846, abs=1e-6)
+    assert impact.daily_impact(scores).count() == 6
+    assert impact.impact_summary(impact.impact_scores(complete, compat=True)).first().impact_index == 0.0
