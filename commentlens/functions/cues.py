@@ -27,7 +27,9 @@ def has_question(text: Column) -> Column:
 def has_negation(text: Column, whole_words: bool = False) -> Column:
     """By default a substring test, so that "know" counts; optionally whole words only."""
     words = "|".join(C.NEGATION_WORDS)
-    return F.lower(text).rlike(rf"\b(?:{words})\b" if whole_words else words)
+    if whole_words:
+        words = rf"(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])"
+    return F.lower(text).rlike(words)
 
 
 def text_cues(df: DataFrame, content: str = "content", whole_words: bool = False) -> DataFrame:
@@ -76,4 +78,4 @@ def stripped(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (stripped(text) == "")
+    return text.isNull() | text.rlike(r"^(?U:\s*)$")

@@ -18,9 +18,12 @@ _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def _parse_ntz(text: Column, pattern: str) -> Column:
+    # A failing parse is slow; texts that cannot fit are not tried.
+    half_day = text.rlike("(?i)[ap]m$")
+    fitting = half_day if pattern.endswith("a") else ~half_day
     # Parsed as UTC, so that the instant counts the microseconds of the wall clock.
     instant = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(f"{pattern} XXX"))
-    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr(_EPOCH))
+    return F.when(fitting, F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr(_EPOCH)))
 
 
 def parse_comment_time(
@@ -31,8 +34,8 @@ def parse_comment_time(
     ``compat`` reads the hour as a 24-hour one and leaves AM/PM without effect.
     """
     if compat:
-        twenty_four = F.regexp_extract(text, r"(?i)^(.+) (?:AM|PM)$", 1)
-        return _parse_ntz(twenty_four, COMMENT_TIME_24H_PATTERN)
+        twenty_four = F.regexp_extract(text, r"(?i)^(.+) [ap]m$", 1)
+        return _parse_ntz(F.nullif(twenty_four, F.lit("")), COMMENT_TIME_24H_PATTERN)
     return F.coalesce(*[_parse_ntz(text, p) for p in patterns])
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IndexToString,
     NGram,
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentlens import constants as C
+from commentlens.operators.training import frequent_tokens
 
 
 ROWS_PER_PARTITION = 2_000
@@ -41,22 +42,27 @@ class TextModel(Estimator):
         self.max_features, self.max_iter = max_features, max_iter
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        counted = Pipeline(
-            stages=[
+        split = PipelineModel(
+            [
                 RegexTokenizer(
                     inputCol=self.text, outputCol="words", gaps=False, toLowercase=True,
                     pattern=r"(?U)\b\w\w+\b",
                 ),
                 NGram(n=2, inputCol="words", outputCol="pairs"),
                 SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-                CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=self.max_features),
             ]
-        ).fit(dataset)
+        )
+        # At most max_features short strings come to the driver.
+        top = frequent_tokens(split.transform(dataset), F.col("terms"), self.max_features)
+        counter = CountVectorizerModel.from_vocabulary(
+            [r.token for r in top.collect()], inputCol="terms", outputCol="counts"
+        )
         numbered = StringIndexer(
             inputCol=self.label, outputCol="target", stringOrderType="alphabetAsc"
         ).fit(dataset)
         # Narrow and used by two fits; everything wide is left behind.
-        rows = numbered.transform(counted.transform(dataset)).select("counts", "target").persist()
+        counts = counter.transform(split.transform(numbered.transform(dataset)))
+        rows = counts.select("counts", "target").persist()
         try:
             idf = IDF(inputCol="counts", outputCol="unused").fit(rows)
             weights = ElementwiseProduct(
@@ -74,7 +80,7 @@ class TextModel(Estimator):
         finally:
             rows.unpersist()
         named = IndexToString(inputCol="prediction", outputCol="predicted", labels=numbered.labels)
-        return PipelineModel([*counted.stages, weights, unit, classifier, named])
+        return PipelineModel([*split.stages, counter, weights, unit, classifier, named])
 
 
 def text_model(

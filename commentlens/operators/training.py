@@ -69,20 +69,30 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def build_vocabulary(df: DataFrame, col: str = "text", size: int = 30_000) -> DataFrame:
-    """The ``size`` most frequent tokens with their counts and ids, numbered after the marks.
+def frequent_tokens(df: DataFrame, words: Column, size: int) -> DataFrame:
+    """The ``size`` most frequent elements of an array column, with their counts, in order.
 
-    Only these ``size`` rows ever come together in one task, to be numbered.
+    Equally frequent ones are taken alphabetically. Counting is combined before the shuffle;
+    every task then passes on ``size`` rows at most.
     """
-    counts = (
-        df.select(F.explode(tokens(F.col(col))).alias("token"))
+    # A plain explode would first filter on the array, and split the text once more for that.
+    return (
+        df.select(F.explode_outer(words).alias("token"))
+        .where("token is not null")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
         .orderBy(F.col("n").desc(), "token")
         .limit(size)
     )
+
+
+def build_vocabulary(df: DataFrame, col: str = "text", size: int = 30_000) -> DataFrame:
+    """The ``size`` most frequent tokens with their counts and ids, numbered after the marks.
+
+    Only these ``size`` rows ever come together in one task, to be numbered.
+    """
     place = F.row_number().over(Window.orderBy(F.col("n").desc(), "token"))
-    return counts.withColumn("token_id", place + C.UNKNOWN_ID)
+    return frequent_tokens(df, tokens(F.col(col)), size).withColumn("token_id", place + C.UNKNOWN_ID)
 
 
 def _lookup_table(vocab: DataFrame) -> DataFrame:

@@ -86,7 +86,10 @@ def annotated(spark: SparkSession, sf_dir: str, complete: bool = True) -> DataFr
 
 def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their position in their language, as annotation files list them."""
-    return with_ord(annotated(spark, sf_dir, complete=False), "doc_id")
+    ids = table(spark, sf_dir, "documents").select(F.col("lang").alias("post_id"), "doc_id")
+    # Positions are found without the texts.
+    positions = with_ord(ids, "doc_id").select("doc_id", "ord")
+    return annotated(spark, sf_dir, complete=False).join(positions, "doc_id")
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:

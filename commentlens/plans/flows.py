@@ -72,14 +72,14 @@ def measure_impact(report: DataFrame, compat: bool = False) -> dict[str, DataFra
     """All impact tables of an uncertainty report."""
     complete = rows.complete_rows(report, impact.INPUTS)
     scores = impact.impact_scores(_timed(complete), compat=compat)
+    # Excerpts are cut first: ranking then moves short rows.
+    excerpts = impact.top_comment_table(scores, extra=["post_id", "ord"])
     return {
         "daily": impact.daily_impact(scores),
         "by_stance": impact.impact_by_stance(scores),
         "summary": impact.impact_summary(scores),
-        "strengthening": impact.top_comment_table(impact.top_impact(scores), extra=["post_id", "place"]),
-        "weakening": impact.top_comment_table(
-            impact.top_impact(scores, weakening=True), extra=["post_id", "place"]
-        ),
+        "strengthening": impact.top_impact(excerpts),
+        "weakening": impact.top_impact(excerpts, weakening=True),
         "box": impact.impact_box(scores),
         "scatter": impact.impact_scatter(scores),
     }

@@ -288,7 +288,8 @@ SELECT post_id, ord, regexp_matches(content, '[{C.CUE_EMOJI}]') AS has_emoji,
        contains(content, '!') AS has_exclamation,
        regexp_matches(lower(content), 'not|no|never|fake|hoax') AS has_negation,
        contains(content, '?') AS has_question,
-       regexp_matches(lower(content), '\\b(not|no|never|fake|hoax)\\b') AS has_negation_word,
+       regexp_matches(lower(content),
+         '(^|[^\\p{{L}}\\p{{N}}_])(not|no|never|fake|hoax)([^\\p{{L}}\\p{{N}}_]|$)') AS has_negation_word,
        content IS NULL OR trim(content) = '' AS blank
 FROM scored""",
     "explained": f"WITH {SCORED} SELECT post_id, ord, stance, {EXPLANATION} AS explanation FROM scored",

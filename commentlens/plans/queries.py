@@ -253,8 +253,9 @@ def impact_summary_compat(spark, sf):
 
 
 def _top(spark, sf, weakening):
-    top = impact.top_impact(_impact(spark, sf), weakening=weakening)
-    return rounded(impact.top_comment_table(top, extra=["post_id", "place", "ord"]), "adjusted_impact")
+    # Excerpts are cut first: ranking then moves short rows.
+    excerpts = impact.top_comment_table(_impact(spark, sf), extra=["post_id", "ord"])
+    return rounded(impact.top_impact(excerpts, weakening=weakening), "adjusted_impact")
 
 
 @query
