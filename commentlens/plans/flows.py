@@ -38,7 +38,8 @@ def classify(
     plain = rows.drop_post_row(comments).select(
         "post_id", "ord", "content", "reactions", "sub_comments", "comment_at"
     )
-    writers.write_comments(stance.score_stance(plain, scorer_factory), out, fmt)
+    # A file is read by one task. Whatever its size, the model's work is dealt out evenly.
+    writers.write_comments(stance.score_stance(plain.hint("rebalance"), scorer_factory), out, fmt)
     return stance.stance_distribution(readers.read_comments(spark, out, S.CLASSIFIED, fmt))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlens import constants as C
-from commentlens.functions.cues import is_blank
+from commentlens.functions.cues import has_negation, is_blank
+from commentlens.functions.cues import text_cues as cues
+from commentlens.functions.joins import settle
 from commentlens.functions.labels import first_label, top_label
 from commentlens.functions.times import parse_comment_time
 from commentlens.operators import dynamics, evaluation, impact, rows, stance, textmodel, training, triage
@@ -134,8 +136,6 @@ def top_stance(spark, sf):
 
 @query
 def text_cues(spark, sf):
-    from commentlens.functions.cues import has_negation, text_cues as cues
-
     marked = cues(A.scored(spark, sf).select("post_id", "ord", "content"))
     marked = marked.withColumn("has_negation_word", has_negation(F.col("content"), whole_words=True))
     return marked.withColumn("blank", is_blank(F.col("content"))).drop("content")
@@ -271,15 +271,21 @@ def impact_top_weakening(spark, sf):
 BOX = ("lowest", "q1", "median", "q3", "highest", "lower_fence", "upper_fence")
 
 
+def _box(spark, sf, by):
+    # A box takes several passes; the join behind the scores is made for the first one only.
+    narrow = _impact(spark, sf).select("post_id", "stance", "ord", "adjusted_impact")
+    return rounded(impact.impact_box(settle(narrow), by=by), *BOX)
+
+
 @query
 def impact_box(spark, sf):
-    return rounded(impact.impact_box(_impact(spark, sf)), *BOX)
+    return _box(spark, sf, ["post_id", "stance"])
 
 
 @query
 def impact_box_by_stance(spark, sf):
     """Posts taken together: three groups, each with a third of all rows."""
-    return rounded(impact.impact_box(_impact(spark, sf), by=["stance"]), *BOX)
+    return _box(spark, sf, ["stance"])
 
 
 @query
