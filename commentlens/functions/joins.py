@@ -50,7 +50,8 @@ def _within(df: DataFrame, limit: int) -> bool:
     return (df.agg(F.sum(width)).first()[0] or 0) <= limit
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which a missing key equals a missing key."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
     matches = [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
     return left.join(renamed, matches, how).drop(*[f"__{k}" for k in keys])
@@ -75,7 +76,7 @@ def attach(
     """
     figures = settle(figures)
     if _within(figures, broadcast_bytes):
-        return _null_safe(df, F.broadcast(figures.drop(rows)), keys, "left")
+        return null_safe_join(df, F.broadcast(figures.drop(rows)), keys, "left")
 
     # Only heavy keys are listed, at most (all rows / rows_per_task) of them. Should even
     # that list be too long, fewer and heavier keys are split.
@@ -85,7 +86,7 @@ def attach(
         if _within(heavy, broadcast_bytes):
             break
         rows_per_task *= 4
-    dealt = _null_safe(df, F.broadcast(heavy), keys, "left").withColumn(
+    dealt = null_safe_join(df, F.broadcast(heavy), keys, "left").withColumn(
         "__deal",
         F.when(F.col("__deals").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*spread), F.col("__deals")).cast("int")
@@ -93,4 +94,4 @@ def attach(
     )
     every_deal = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col(rows) / rows_per_task).cast("int") - 1))
     repeated = figures.withColumn("__deal", F.explode(every_deal)).drop(rows)
-    return _null_safe(dealt, repeated, [*keys, "__deal"], "left").drop("__deal", "__deals")
+    return null_safe_join(dealt, repeated, [*keys, "__deal"], "left").drop("__deal", "__deals")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commentlens.functions.joins import attach
+from commentlens.functions.joins import attach, null_safe_join
 from commentlens.functions.times import days_between, hour_of, hours_between, minutes_between
 
 OVERALL = "aggregated"
@@ -72,7 +72,7 @@ def post_metrics(
     if compat:
         longest = F.when(F.col("undated") == 0, longest)
     return (
-        facts.join(_second_event(df, post, ts), post, "left")
+        null_safe_join(facts, _second_event(df, post, ts), [post], "left")
         .withColumn("cls_days", days_between(first, last))
         .select(
             post,

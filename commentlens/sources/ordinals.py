@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from commentlens.functions.joins import null_safe_join
+
 ROWS_PER_BLOCK = 1_000_000
 
 
@@ -27,8 +29,7 @@ def with_ord(
     )
     within = F.row_number().over(Window.partitionBy(post, "__block").orderBy(key)) - 1
     return (
-        blocked.withColumn("ord", within)
-        .join(before, [post, "__block"])
+        null_safe_join(blocked.withColumn("ord", within), before, [post, "__block"], "left")
         .withColumn("ord", F.col("ord") + F.col("__before"))
         .drop("__block", "__before")
     )

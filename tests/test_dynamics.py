@@ -39,6 +39,12 @@ def test_post_metrics(comments):
     assert (c.min_spread_time_minutes, c.max_spread_time_minutes, c.views, c.unique_authors) == (60.0, 60.0, 2, 3)
 
 
+def test_comments_without_a_post_are_a_post(spark):
+    rows = [(None, 0, "ann", 1, 1, at(0)), (None, 1, "bob", 0, 0, at(2))]
+    only, = D.post_metrics(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert (only.post_id, only.min_spread_time_minutes, only.views) == (None, 2.0, 2)
+
+
 def test_post_metrics_compat(comments):
     m = by_post(D.post_metrics(comments, compat=True))
     assert m["b"].growth_rate == float("inf")

@@ -139,8 +139,9 @@ def test_metrics_are_json(spark, tmp_path, posts):
 
 
 def test_with_ord_counts_across_blocks(spark):
-    df = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', 'cold') post_id", "id * 7 as key")
+    df = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', if(id % 3 = 1, 'cold', null)) post_id", "id * 7 as key")
     got = with_ord(df, "key", rows_per_block=100).orderBy("post_id", "key").collect()
-    for post in ("hot", "cold"):
+    assert len(got) == 1000
+    for post in ("hot", "cold", None):
         ords = [r.ord for r in got if r.post_id == post]
         assert ords == list(range(len(ords)))
