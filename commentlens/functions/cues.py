@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentlens import constants as C
 
 
+def _contains_any(text: Column, parts: Iterable[str]) -> Column:
+    # Much faster than one pattern of alternatives.
+    return reduce(Column.__or__, [text.contains(part) for part in parts])
+
+
 def has_emoji(text: Column) -> Column:
-    return text.rlike(f"[{C.CUE_EMOJI}]")
+    return _contains_any(text, C.CUE_EMOJI)
 
 
 def has_quotes(text: Column) -> Column:
@@ -26,12 +34,12 @@ def has_question(text: Column) -> Column:
 
 def has_negation(text: Column, whole_words: bool = False) -> Column:
     """By default a substring test, so that "know" counts; optionally whole words only."""
-    words = "|".join(C.NEGATION_WORDS)
-    if whole_words:
-        # The look-ahead spares the costlier look-behind at almost every character.
-        initials = "".join(sorted({w[0] for w in C.NEGATION_WORDS}))
-        words = rf"(?=[{initials}])(?<![\p{{L}}\p{{N}}_])(?:{words})(?![\p{{L}}\p{{N}}_])"
-    return F.lower(text).rlike(words)
+    if not whole_words:
+        return _contains_any(F.lower(text), C.NEGATION_WORDS)
+    # The look-ahead spares the costlier look-behind at almost every character.
+    initials = "".join(sorted({w[0] for w in C.NEGATION_WORDS}))
+    words, letter = "|".join(C.NEGATION_WORDS), r"[\p{L}\p{N}_]"
+    return F.lower(text).rlike(f"(?=[{initials}])(?<!{letter})(?:{words})(?!{letter})")
 
 
 def text_cues(df: DataFrame, content: str = "content", whole_words: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 from commentlens import constants as C
 from commentlens.operators import stance as S
