@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from commentlens.llm import ngram_join
+from commentlens.llm import decontaminate, line_dedup, ngram_join
 from commentlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,45 @@ def query(make: Query) -> Query:
     return make
 
 
+@query
+def op1_line_dedup(spark, sf):
+    """What is left of every document."""
+    kept = line_dedup.drop_recurring_lines(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op2_decontaminate(spark, sf):
+    """Benchmark items found in documents."""
+    hits = decontaminate.contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    share = (F.col("n_found") / F.col("n_item")).alias("containment")
+    return hits.select("doc_id", "item_id", "n_item", "n_found", share)
+
+
+_PLAIN_WORDS = (
+    "list_filter(regexp_split_to_array(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+    " 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', ' ', 'g'), ' +'), lambda x: x <> '')"
+)
+
+
+def _shingle_sql(name: str, key: str) -> str:
+    return f"""{name} AS (
+      SELECT {key}, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s
+      FROM (SELECT {key}, {_PLAIN_WORDS} AS w FROM {{}}) WHERE len(w) > 0
+    )"""
+
+
+ORACLES["op2_decontaminate"] = f"""
+    WITH {_shingle_sql("d", "doc_id").format("documents")}, {_shingle_sql("b", "item_id").format("benchmark")},
+    ds AS (SELECT DISTINCT doc_id, unnest(s) AS g FROM d), bs AS (SELECT DISTINCT item_id, unnest(s) AS g FROM b),
+    n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY ALL),
+    f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (g) GROUP BY ALL)
+    SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment
+    FROM f JOIN n USING (item_id) WHERE 100 * n_found >= 75 * n_item
+"""
+
+
 @query
 def op4_ngram_jaccard_join(spark, sf):
     """Shingle count and component of every document."""

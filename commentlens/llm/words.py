@@ -18,6 +18,9 @@ LONG_WORD = 1024
 
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: The same, with ASCII punctuation counted as white space.
+_IN_PLAIN_WORD = _IN_WORD.copy()
+_IN_PLAIN_WORD[[c for c in range(128) if not chr(c).isalnum()]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
@@ -37,9 +40,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """``starts``, ``ends``: byte positions in ``data``. ``names``: 64-bit names. Words of text t: first[t] to first[t + 1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False):
         self.data, self.offsets = (_LOWER[data] if lower else data), offsets
-        inside = _IN_WORD[data]
+        inside = (_IN_PLAIN_WORD if plain else _IN_WORD)[data]
         begins, finishes = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         finishes[:-1] &= ~inside[1:]
