@@ -38,8 +38,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
-    return F.filter(parts, lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
 
 
 def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:

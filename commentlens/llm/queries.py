@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import decontaminate, line_dedup, ngram_join
-from commentlens.llm.common import table
+from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join
+from commentlens.llm.common import table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -63,3 +63,39 @@ ORACLES["op2_decontaminate"] = f"""
 def op4_ngram_jaccard_join(spark, sf):
     """Shingle count and component of every document."""
     return ngram_join.jaccard_components(table(spark, sf, "documents"))
+
+
+@query
+def op5_mix_sources(spark, sf):
+    """Words that the mix takes of every document."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    mixed = mixing.mix_sources(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times_taken")).alias("taken"))
+
+
+ORACLES["op5_mix_sources"] = r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k FROM documents),
+    s AS (
+      SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
+    w AS (SELECT *, ([5, 2, 1])[((r - 1) % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS most FROM s),
+    level AS (
+      SELECT 1.5::DOUBLE * (SELECT sum(source_size) FROM w) AS rest, (SELECT sum(w) FROM w) AS free, 0 AS step
+      UNION ALL
+      SELECT 1.5::DOUBLE * (SELECT sum(source_size) FROM w)
+          - (SELECT coalesce(sum(most), 0) FROM w WHERE w.w * level.rest / level.free > most),
+        (SELECT sum(w.w) FROM w WHERE w.w * level.rest / level.free <= most), step + 1
+      FROM level WHERE step < 50 AND level.free IS NOT NULL),
+    settled AS (SELECT rest, free FROM level WHERE free IS NOT NULL ORDER BY step DESC LIMIT 1),
+    t AS (SELECT w.*, CASE WHEN w * rest / free > most THEN most ELSE w * rest / free END AS target FROM w, settled),
+    c AS (
+      SELECT d.*, r, source_size, target, sum(size) OVER (PARTITION BY r ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    e AS (
+      SELECT *, ((e * source_size + cum)::DOUBLE / target) AS f FROM c, (VALUES (0), (1)) v(e) WHERE size > 0 AND target > 0),
+    u AS (SELECT *, sum(size) OVER (ORDER BY f, r, e, k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+    n AS (SELECT doc_id, count(*) AS n FROM u WHERE upto <= 1.5 * (SELECT sum(source_size) FROM s) GROUP BY ALL)
+    SELECT c.doc_id, size::BIGINT AS size, source_size, target, (size * coalesce(n, 0))::BIGINT AS taken
+    FROM c LEFT JOIN n ON c.doc_id = n.doc_id
+"""
