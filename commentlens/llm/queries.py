@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join
-from commentlens.llm.common import table, words
+from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality
+from commentlens.llm.common import settle, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -35,6 +35,15 @@ def op2_decontaminate(spark, sf):
     return hits.select("doc_id", "item_id", "n_item", "n_found", share)
 
 
+@query
+def op3_quality_rules(spark, sf):
+    """Statistics of every document, and what the base rules and the learned list say."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    statistics = settle(quality.text_statistics(docs).drop("text"))
+    rules = quality.learn_from_labels(statistics, table(spark, sf, "labels"))
+    return quality.judged(statistics, rules)
+
+
 _PLAIN_WORDS = (
     "list_filter(regexp_split_to_array(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
     " 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', ' ', 'g'), ' +'), lambda x: x <> '')"
