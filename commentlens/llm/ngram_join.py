@@ -157,16 +157,17 @@ def _plausible(sizes: np.ndarray, bitmaps: list[np.ndarray], percent: int) -> It
             yield i, i + 1 + np.flatnonzero(fits)
 
 
-def _in_tiles(members: DataFrame) -> DataFrame:
-    """Deals the members of each hub (hub, node, ...) into tiles of about ``2 * TILE`` members, so that any two share one.
+def _in_tiles(members: DataFrame, payload: DataFrame) -> DataFrame:
+    """Deals the members of each hub (hub, node) into tiles of about ``2 * TILE`` members, so that any two share one.
 
-    A tile is the union of two blocks, or one block; rows come out sorted by tile.
+    A tile is the union of two blocks, or one block. The payload of a node joins when its tiles are known, so it is
+    shuffled only once more; rows come out sorted by tile.
     """
     blocks = members.groupBy("hub").count().select("hub", F.ceil(F.col("count") / TILE).cast("int").alias("k"))
     dealt = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     other = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = other.withColumn("i", F.least("block", "x")).withColumn("j", F.greatest("block", "x")).drop("k", "x")
-    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return rows.join(payload, "node").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
 
 def _each_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -280,14 +281,14 @@ def jaccard_components(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int
     by_token = prefixes.repartition("token").sortWithinPartitions("token", "n", "node")
     shared = settle(by_token.mapInArrow(_meetings, "token long, node long, n long"))
 
-    members = _in_tiles(_tiles_of_hubs(shared).join(nodes.select("node", "n", "bits"), "node"))
+    members = _in_tiles(_tiles_of_hubs(shared), nodes.select("node", "n", "bits"))
     left = settle(members.mapInArrow(partial(_prune, percent), "hub long, node long").distinct())
     needed = settle(left.select("node").distinct().join(nodes.select("node", "rep"), "node"))
     ids = context.broadcast(bit_filter(needed.select(F.xxhash64("rep").alias("key")), PICK_BITS))
     picked = context.broadcast(bit_filter(needed.select("node"), PICK_BITS))
     keyed = texts.select(F.xxhash64("doc_id").alias("key"), "text")
     arrays = keyed.mapInArrow(partial(_arrays, words, ids, picked), "node long, array binary").dropDuplicates(["node"])
-    links = settle(_in_tiles(left.join(arrays, "node")).mapInArrow(partial(_exact, percent), "a long, b long").distinct())
+    links = settle(_in_tiles(left, arrays).mapInArrow(partial(_exact, percent), "a long, b long").distinct())
     labels = components(links)
 
     # Rows of one doc_id are one document, whatever their texts.
