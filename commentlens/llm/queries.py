@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality
+from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality, url_filter
 from commentlens.llm.common import settle, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,69 @@ ORACLES["op5_mix_sources"] = r"""
     SELECT c.doc_id, size::BIGINT AS size, source_size, target, (size * coalesce(n, 0))::BIGINT AS taken
     FROM c LEFT JOIN n ON c.doc_id = n.doc_id
 """
+
+
+#: The tables hold no fetch times and no lists. A page is fetched at a time made from its id, within 2023 and 2024; every third
+#: host is listed (its domain, itself or a path of it), some are taken off and listed again.
+_START, _SPAN = 1_672_531_200, 730 * 86_400
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", "url", (F.lit(_START) + F.pmod(F.col("page_id") * 7_919_003, F.lit(_SPAN))).alias("fetched"))
+
+
+def _entries(pages: DataFrame) -> DataFrame:
+    keys = url_filter.url_keys(F.col("url"))
+    named = pages.select(keys["host"].alias("host"), keys["path1"].alias("path"), keys["parent1"].alias("parent")).where("host IS NOT NULL")
+    code = F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("long")
+    hosts = named.groupBy("host").agg(F.min("path").alias("path"), F.min("parent").alias("parent")).withColumn("h", code)
+    kind = F.pmod("h", F.lit(9))
+    key = F.when(kind == 0, F.coalesce("parent", "host")).when(kind == 3, F.coalesce("path", "host")).when(kind == 6, F.col("host"))
+    since = F.lit(_START) + F.pmod("h", F.lit(_SPAN))
+    listed = [(0, True), (60, False), (150, True)]
+    events = F.array(*[F.struct((since + days * 86_400).alias("at"), F.lit(on).alias("listed")) for days, on in listed])
+    used = F.slice(events, F.lit(1), (F.pmod(F.floor(F.col("h") / 9), F.lit(3)) + 1).cast("int"))
+    reason = F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (F.pmod(F.floor(F.col("h") / 27), F.lit(3)) + 1).cast("int"))
+    return hosts.select(key.alias("key"), F.explode(used).alias("e"), reason.alias("reason")).select("key", "e.at", "e.listed", "reason")
+
+
+@query
+def op10_url_filter(spark, sf):
+    """Every capture judged by the lists as they were when it was fetched."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return url_filter.filter_captures(_captures(pages), _entries(pages))
+
+
+ORACLES["op10_url_filter"] = r"""
+    WITH p AS (
+      SELECT page_id, url, 1672531200 + (page_id * 7919003) % 63072000 AS fetched,
+        nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?([^?#]*)', 1)), '.'), '') AS host,
+        list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?([^?#]*)', 2), '/'), lambda x: x <> '') AS parts
+      FROM pages),
+    k AS (
+      SELECT *, string_split(host, '.') AS l, CASE WHEN len(parts) >= 1 THEN host || '/' || parts[1] END AS path1 FROM p),
+    k2 AS (
+      SELECT *, CASE WHEN len(l) >= 3 THEN array_to_string(l[2:], '.') END AS parent1,
+        CASE WHEN len(l) >= 4 THEN array_to_string(l[3:], '.') END AS parent2 FROM k),
+    h AS (
+      SELECT host, min(path1) AS path, min(parent1) AS parent, ('0x' || substr(md5(host), 1, 8))::BIGINT AS h
+      FROM k2 WHERE host IS NOT NULL GROUP BY host),
+    e AS (
+      SELECT CASE h % 9 WHEN 0 THEN coalesce(parent, host) WHEN 3 THEN coalesce(path, host) WHEN 6 THEN host END AS key,
+        1672531200 + h % 63072000 + d * 86400 AS ts, d <> 60 AS listed,
+        (['adult', 'malware', 'spam'])[((h // 27) % 3 + 1)::INT] AS reason
+      FROM h, (VALUES (0, 1), (60, 2), (150, 3)) v(d, n) WHERE n <= (h // 9) % 3 + 1),
+    o AS (
+      SELECT key, ts, listed, reason FROM e WHERE key IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY key, ts ORDER BY listed DESC, reason) = 1),
+    i AS (SELECT key, ts AS start, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS until, listed, reason FROM o),
+    c AS (
+      SELECT page_id, n, key FROM (
+        SELECT page_id, unnest([1, 2, 3, 4]) AS n, unnest([path1, host, parent1, parent2]) AS key FROM k2) WHERE key IS NOT NULL),
+    m AS (
+      SELECT p.page_id, c.key, i.start, i.reason, row_number() OVER (PARTITION BY p.page_id ORDER BY c.n) AS r
+      FROM p JOIN c USING (page_id) JOIN i USING (key)
+      WHERE listed AND start <= fetched AND (until IS NULL OR fetched < until))
+    SELECT p.page_id, url, fetched, m.key IS NOT NULL AS blocked, m.key AS matched_key, m.start AS listed_since, m.reason
+    FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1
+"""
