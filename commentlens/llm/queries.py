@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality, url_filter
+from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality, substring_dedup, url_filter
 from commentlens.llm.common import settle, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,27 @@ ORACLES["op5_mix_sources"] = r"""
 """
 
 
+@query
+def op6_substring_dedup(spark, sf):
+    """What is left of every document without repeated passages."""
+    kept = substring_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op6_substring_dedup"] = r"""
+    WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    g AS (
+      SELECT doc_id, unnest(range(1, greatest(len(w) - 18, 1))) AS i, unnest(list_transform(range(1, greatest(len(w) - 18, 1)),
+        lambda k: md5(array_to_string(w[k:k + 19], ' ')))) AS s FROM w),
+    r AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+    c AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM r, range(20) v(k) GROUP BY doc_id),
+    k AS (
+      SELECT w.doc_id, len(w) AS n, list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT coalesce(list_contains(gone, i), false)), lambda i: w[i]) AS kept
+      FROM w LEFT JOIN c ON w.doc_id = c.doc_id)
+    SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
 #: The tables hold no fetch times and no lists. A page is fetched at a time made from its id, within 2023 and 2024; every third
 #: host is listed (its domain, itself or a path of it), some are taken off and listed again.
 _START, _SPAN = 1_672_531_200, 730 * 86_400
