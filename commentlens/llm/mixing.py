@@ -124,7 +124,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
         below = d["finish"] < F.lit(cut["below"])
         row = cut["row"]
         if row is not None:
-            last = F.struct(F.lit(row["finish"]), F.lit(row["rank"]), F.lit(row["time"]), F.lit(row["order_key"]), F.lit(row["doc_id"]).cast(docs.schema["doc_id"].dataType), F.lit(row["size"]))
+            kinds = {"finish": "double", "rank": "int", "time": "int", "order_key": "long", "doc_id": docs.schema["doc_id"].dataType, "size": "long"}
+            last = F.struct(*[F.lit(row[n]).cast(kind).alias(n) for n, kind in kinds.items()])
             below = below | (d <= last)
         return below & (F.col("size") > 0) & (F.col("target") > 0)
 
