@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality, substring_dedup, url_filter
+from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, substring_dedup, url_filter
 from commentlens.llm.common import settle, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +131,28 @@ ORACLES["op6_substring_dedup"] = r"""
 """
 
 
+#: A key for trial runs; real ones come from outside.
+_TRIAL_KEY = b"not a secret"
+
+
+@query
+def op7_pii_pseudonyms(spark, sf):
+    """Every document with pseudonyms for personal data."""
+    return pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), _TRIAL_KEY)
+
+
+@query
+def op8_secret_scan(spark, sf):
+    """Secrets of every document."""
+    found = secret_scan.find_secrets(table(spark, sf, "documents"))
+    base = F.filter("secrets", lambda s: s["rule"] < len(secret_scan.BASE_RULES))
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("secrets")).alias("spans"))
+
+
 #: The tables hold no fetch times and no lists. A page is fetched at a time made from its id, within 2023 and 2024; every third
 #: host is listed (its domain, itself or a path of it), some are taken off and listed again.
 _START, _SPAN = 1_672_531_200, 730 * 86_400
