@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, substring_dedup, url_filter
+from commentlens.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, substring_dedup, url_filter
 from commentlens.llm.common import settle, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,6 +153,33 @@ def op8_secret_scan(spark, sf):
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("secrets")).alias("spans"))
 
 
+@query
+def op9_chat_format(spark, sf):
+    """Every conversation, read back from the tree of formatted turns."""
+    trial = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trial).alias("text"),
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    tree, members = chat.prefix_tree(rows)
+    return chat.conversation_digests(settle(tree), members)
+
+
+ORACLES["op9_chat_format"] = r"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e AS (SELECT *, len(regexp_extract_all(text, '<\\*(\||/?s>|</?SYS>>)|\[\\*/?INST\]')) AS escapes FROM t)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(8 + length(role) + 1 + length(text) + escapes + 8)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id
+"""
+
+
 #: The tables hold no fetch times and no lists. A page is fetched at a time made from its id, within 2023 and 2024; every third
 #: host is listed (its domain, itself or a path of it), some are taken off and listed again.
 _START, _SPAN = 1_672_531_200, 730 * 86_400
