@@ -18,13 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Only a local session without that setting gets a folder of its own; a cluster without it is an error,
-    since executors do not see each other's local folders.
+    Only a local session without that setting gets a folder of its own; a cluster without it is an error, since executors
+    do not see each other's local folders.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +32,12 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="llm-checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the shared folder, where it outlives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
