@@ -196,5 +196,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = {c: f"__doc_{k}" for k, c in enumerate(docs.columns)}
     with_text = held.withColumns({"text": F.col(at["text"]), "doc_id": F.col(at["doc_id"])})
     rules = learn_from_labels(text_statistics(docs.select("doc_id", "text")).drop("text"), labels)
-    kept = judged(text_statistics(with_text), rules).where("kept")
-    return kept.select(*[F.col(v).alias(c) for c, v in at.items()])
+    # Statistics pass through a generator, or the filter below would be pushed into them and each computed many times.
+    once = F.explode(F.array(F.struct(*_BASE))).alias("__statistics")
+    known = text_statistics(with_text).select(*at.values(), once).select(*at.values(), "__statistics.*")
+    return judged(known, rules).where("kept").select(*[F.col(v).alias(c) for c, v in at.items()])
