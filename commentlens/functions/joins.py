@@ -1,53 +1,10 @@
-"""Bringing per-key figures back to the rows they describe.
-
-Per-key figures are one row per post (or per post and stance). How many that is
-depends on the data, so their size is measured before anything is broadcast, and
-keys too heavy for one task are split when they are not.
-"""
+"""Bringing per-key figures back to the rows they describe."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-BROADCAST_BYTES = 32 * 1024 * 1024
-ROWS_PER_TASK = 5_000_000
-
-
-def _has_checkpoint_dir(spark: SparkSession) -> bool:
-    """Use the folder the session names; only a local session gets one of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return True
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-        return True
-    if context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="commentlens-checkpoint-"))
-        return True
-    return False
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the checkpoint folder, where lost executors cannot take it.
-
-    Without a checkpoint folder it stays lazy and is computed again where it is used.
-    """
-    return df.checkpoint() if _has_checkpoint_dir(df.sparkSession) else df
-
-
-def _within(df: DataFrame, limit: int) -> bool:
-    """Whether the rows of ``df``, strings at their real length, take at most ``limit`` bytes."""
-    width = F.lit(16 * len(df.columns))
-    for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-    return (df.agg(F.sum(width)).first()[0] or 0) <= limit
+from pyspark.sql import DataFrame
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -57,41 +14,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, matches, how).drop(*[f"__{k}" for k in keys])
 
 
-def attach(
-    df: DataFrame,
-    figures: DataFrame,
-    keys: Sequence[str],
-    rows: str,
-    spread: Sequence[str] = ("ord",),
-    broadcast_bytes: int = BROADCAST_BYTES,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Add the columns of ``figures`` to every row of ``df`` with the same keys.
+def attach(df: DataFrame, figures: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of ``figures``, one row per key, to every row of ``df`` with the same keys.
 
-    ``figures`` holds one row per key and, in column ``rows``, how many rows of ``df``
-    the key has. It is computed here (one small job). Within ``broadcast_bytes`` it is
-    broadcast and ``df`` is not shuffled. Beyond that both sides are shuffled, and a key
-    with more than ``rows_per_task`` rows is dealt over several tasks by a hash of
-    ``spread``, its figures being repeated for each.
+    Lazy, and the same on every master. How many keys there are depends on the data, so nothing is broadcast here:
+    adaptive execution broadcasts the figures if their measured size is small, and splits the rows of a key that is
+    much heavier than others.
     """
-    figures = settle(figures)
-    if _within(figures, broadcast_bytes):
-        return null_safe_join(df, F.broadcast(figures.drop(rows)), keys, "left")
-
-    # Only heavy keys are listed, at most (all rows / rows_per_task) of them. Should even
-    # that list be too long, fewer and heavier keys are split.
-    while True:
-        deals = F.ceil(F.col(rows) / rows_per_task).cast("int").alias("__deals")
-        heavy = figures.where(F.col(rows) > rows_per_task).select(*keys, deals)
-        if _within(heavy, broadcast_bytes):
-            break
-        rows_per_task *= 4
-    dealt = null_safe_join(df, F.broadcast(heavy), keys, "left").withColumn(
-        "__deal",
-        F.when(F.col("__deals").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(*spread), F.col("__deals")).cast("int")
-        ),
-    )
-    every_deal = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col(rows) / rows_per_task).cast("int") - 1))
-    repeated = figures.withColumn("__deal", F.explode(every_deal)).drop(rows)
-    return null_safe_join(dealt, repeated, [*keys, "__deal"], "left").drop("__deal", "__deals")
+    return null_safe_join(df, figures, keys, "left")

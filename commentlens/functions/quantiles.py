@@ -21,7 +21,6 @@ def exact_quantiles(
     value: str,
     quantiles: Mapping[str, float],
     accuracy: int = 10_000,
-    spread: Sequence[str] = ("ord",),
 ) -> DataFrame:
     """One row per group: ``n`` non-null values, ``lowest``, ``highest`` and each named quantile.
 
@@ -29,7 +28,7 @@ def exact_quantiles(
     """
     names = list(quantiles)
     x = F.col(value)
-    rows = df.where(x.isNotNull()).select(*by, *spread, value)
+    rows = df.where(x.isNotNull()).select(*by, value)
 
     # A sketch value is at most n / accuracy ranks off. Three times that on either side,
     # minus the sketch's own error, still leaves room for the two neighbouring ranks.
@@ -47,12 +46,7 @@ def exact_quantiles(
     for i, name in enumerate(names):
         edges[f"__from_{name}"] = F.when(small, F.col("lowest")).otherwise(F.col("__probes")[2 * i])
         edges[f"__to_{name}"] = F.when(small, F.col("highest")).otherwise(F.col("__probes")[2 * i + 1])
-    brackets = (
-        sketch.withColumns(edges)
-        .withColumn("__rows", F.col("n"))
-        .select(*by, "n", "lowest", "highest", *edges, "__rows")
-    )
-    placed = attach(rows, brackets, by, "__rows", spread)
+    placed = attach(rows, sketch.withColumns(edges).select(*by, "n", "lowest", "highest", *edges), by)
 
     # Values inside a bracket stay themselves; the ones in a gap share one cell that sorts
     # right after the bracket below it.

@@ -133,9 +133,9 @@ def metrics_report(df: DataFrame, post: str = "post_id", **options) -> DataFrame
 def spread_offset(df: DataFrame, post: str = "post_id", ord: str = "ord", ts: str = "ts") -> DataFrame:
     """Every dated comment with the minutes since its post's first event."""
     dated = df.where(F.col(ts).isNotNull())
-    starts = dated.groupBy(post).agg(F.min(ts).alias("first_event"), F.count("*").alias("__rows"))
+    starts = dated.groupBy(post).agg(F.min(ts).alias("first_event"))
     return (
-        attach(dated, starts, [post], "__rows", [ord])
+        attach(dated, starts, [post])
         .withColumn("offset_minutes", minutes_between(F.col("first_event"), F.col(ts)))
         .drop("first_event")
     )

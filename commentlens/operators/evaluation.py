@@ -40,10 +40,12 @@ def confusion(
 ) -> DataFrame:
     """Rows per pair of ``predicted`` and ``actual``, missing labels being a value of their own.
 
-    ``wide`` gives one line per predicted label and one column per label of ``labels``.
+    ``wide`` gives one line per predicted label, one column per label of ``labels`` and one, ``other``, for all else.
     """
     if wide:
         counts = [F.count_if(F.col(actual) == label).alias(label) for label in labels]
+        listed = F.coalesce(F.col(actual).isin(list(labels)), F.lit(False))
+        counts.append(F.count_if(~listed).alias("other"))
         return df.groupBy(F.col(predicted).alias("predicted")).agg(*counts)
     return df.groupBy(
         F.col(predicted).alias("predicted"), F.col(actual).alias("actual")

@@ -37,11 +37,10 @@ def impact_scores(
     largest = df.groupBy(post).agg(
         F.max("reactions").alias("__max_reactions"),
         F.max("sub_comments").alias("__max_sub"),
-        F.count("*").alias("__rows"),
     )
     epsilon = C.NORMALISATION_EPSILON
     return (
-        attach(df, largest, [post], "__rows", [ord])
+        attach(df, largest, [post])
         .withColumn("reactions_norm", F.col("reactions") / (F.col("__max_reactions") + epsilon))
         .withColumn("sub_comments_norm", F.col("sub_comments") / (F.col("__max_sub") + epsilon))
         .drop("__max_reactions", "__max_sub")
@@ -142,7 +141,7 @@ def impact_box(
     rows = df.where(impact.isNotNull()).select(*by, ord, "adjusted_impact")
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     if exact:
-        boxes = exact_quantiles(rows, by, "adjusted_impact", quartiles, accuracy, [ord])
+        boxes = exact_quantiles(rows, by, "adjusted_impact", quartiles, accuracy)
     else:
         boxes = rows.groupBy(*by).agg(
             F.count("*").alias("n"),
@@ -154,7 +153,7 @@ def impact_box(
     beside = impact.between(F.col("q1") - reach, F.col("q3") + reach)
     figures = ["n", "lowest", "q1", "median", "q3", "highest"]
     return (
-        attach(rows, boxes.withColumn("__rows", F.col("n")), by, "__rows", [ord])
+        attach(rows, boxes, by)
         .groupBy(*by, *figures)
         .agg(
             F.min(F.when(beside, impact)).alias("lower_fence"),

@@ -23,13 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentlens import constants as C
-from commentlens.functions.joins import settle
 from commentlens.operators.training import frequent_tokens
 
 
-ROWS_PER_PARTITION = 2_000
-
-
 class TextModel(Estimator):
     """Fits a ``PipelineModel`` from ``text`` and a string ``label`` to ``predicted`` and ``probability``.
 
@@ -61,23 +57,20 @@ class TextModel(Estimator):
         numbered = StringIndexer(
             inputCol=self.label, outputCol="target", stringOrderType="alphabetAsc"
         ).fit(dataset)
-        # Narrow, used by two fits, and kept where lost executors cannot take it; everything wide
-        # is left behind.
+        # Narrow and used by two fits; everything wide is left behind. Lost parts are computed again.
         counts = counter.transform(split.transform(numbered.transform(dataset)))
-        rows = settle(counts.select("counts", "target"))
+        rows = counts.select("counts", "target").persist()
         idf = IDF(inputCol="counts", outputCol="unused").fit(rows)
         weights = ElementwiseProduct(
             inputCol="counts", outputCol="weighted", scalingVec=DenseVector(idf.idf.toArray() + 1.0)
         )
         unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-        # Every iteration is a job; small training sets do not need many tasks for each.
-        training = unit.transform(weights.transform(rows)).coalesce(
-            max(1, idf.numDocs // ROWS_PER_PARTITION)
-        )
+        training = unit.transform(weights.transform(rows))
         classifier = LogisticRegression(
             featuresCol="features", labelCol="target", maxIter=self.max_iter, tol=C.TOLERANCE,
             regParam=1.0 / idf.numDocs, elasticNetParam=0.0, standardization=False,
         ).fit(training)
+        rows.unpersist()
         named = IndexToString(inputCol="prediction", outputCol="predicted", labels=numbered.labels)
         return PipelineModel([*split.stages, counter, weights, unit, classifier, named])
 

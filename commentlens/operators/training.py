@@ -65,6 +65,10 @@ def hash_split(
     return df.withColumn("split", F.lit(last) if split is None else split.otherwise(last))
 
 
+#: Characters at the beginning of a token by which those of one count are dealt out to be numbered.
+CELL_PREFIX = 3
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
@@ -86,13 +90,27 @@ def frequent_tokens(df: DataFrame, words: Column, size: int) -> DataFrame:
     )
 
 
-def build_vocabulary(df: DataFrame, col: str = "text", size: int = 30_000) -> DataFrame:
-    """The ``size`` most frequent tokens with their counts and ids, numbered after the marks.
+def build_vocabulary(df: DataFrame, col: str = "text", size: int | None = None) -> DataFrame:
+    """Every token with its count and id, most frequent first, equal ones alphabetically; numbered after the marks.
 
-    Only these ``size`` rows ever come together in one task, to be numbered.
+    Tokens are numbered within cells of one count and one beginning; what comes before a cell is a running total over the
+    table of cells, so tokens never come together in one task. ``size`` keeps the first ones only.
     """
-    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "token"))
-    return frequent_tokens(df, tokens(F.col(col)), size).withColumn("token_id", place + C.UNKNOWN_ID)
+    counted = (
+        df.select(F.explode_outer(tokens(F.col(col))).alias("token"))
+        .where("token is not null")
+        .groupBy("token")
+        .agg(F.count("*").alias("n"))
+        .withColumn("__start", F.substring("token", 1, CELL_PREFIX))
+    )
+    earlier = Window.orderBy(F.col("n").desc(), "__start").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counted.groupBy("n", "__start").agg(F.count("*").alias("__size"))
+    before = cells.select("n", "__start", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("n", "__start").orderBy("token"))
+    numbered = counted.withColumn("__place", place).join(before, ["n", "__start"])
+    token_id = (F.col("__before") + F.col("__place") + C.UNKNOWN_ID).cast("int").alias("token_id")
+    vocab = numbered.select("token", "n", token_id)
+    return vocab if size is None else vocab.where(F.col("token_id") <= size + C.UNKNOWN_ID)
 
 
 def _lookup_table(vocab: DataFrame) -> DataFrame:
@@ -120,25 +138,38 @@ def encode_fixed_length(
     length: int = C.ENCODED_LENGTH,
     col: str = "text",
     keep: Sequence[str] | None = None,
+    lookup: bool = False,
 ) -> DataFrame:
     """Replace ``col`` by ``input_ids`` and ``attention_mask``, arrays of ``length`` numbers.
 
-    Tokens stand between a begin and an end mark; what does not fit is cut off, what is
-    missing is padded. ``vocab`` has a bounded number of rows by construction and reaches
-    the tasks as one value, so the texts are neither exploded nor shuffled.
+    Tokens stand between a begin and an end mark; what does not fit is cut off, what is missing is padded. The tokens
+    that fit are joined with the vocabulary, whatever its size, and gathered again by row. With ``lookup``, meant for a
+    vocabulary of a stated size, it reaches the tasks as one value instead, and texts are neither exploded nor shuffled.
     """
     keep = [c for c in df.columns if c not in (col, "stance")] if keep is None else list(keep)
     words = F.slice(F.coalesce(tokens(F.col(col)), F.array().cast("array<string>")), 1, length - 2)
+    if lookup:
 
-    def token_id(word: Column) -> Column:
-        bucket = F.pmod(F.xxhash64(word), F.lit(LOOKUP_BUCKETS)).cast("int")
-        return F.coalesce(F.try_element_at(F.col("__lookup")[bucket], word), F.lit(C.UNKNOWN_ID))
+        def token_id(word: Column) -> Column:
+            bucket = F.pmod(F.xxhash64(word), F.lit(LOOKUP_BUCKETS)).cast("int")
+            return F.coalesce(F.try_element_at(F.col("__lookup")[bucket], word), F.lit(C.UNKNOWN_ID))
 
-    # Used in one place only, the table is folded into that expression instead of becoming a
-    # column of every row.
-    found = df.withColumn("__lookup", _lookup_table(vocab).scalar()).select(
-        *keep, F.transform(words, token_id).alias("__ids")
-    )
+        # Used in one place only, the table is folded into that expression instead of becoming a
+        # column of every row.
+        found = df.withColumn("__lookup", _lookup_table(vocab).scalar()).select(
+            *keep, F.transform(words, token_id).alias("__ids")
+        )
+    else:
+        rows = df.select(*keep, F.monotonically_increasing_id().alias("__row"), words.alias("__words"))
+        placed = rows.select("__row", *keep, F.posexplode_outer("__words").alias("__at", "token"))
+        ids = placed.join(vocab.select("token", "token_id"), "token", "left").withColumn(
+            "__id", F.when(F.col("token").isNotNull(), F.struct("__at", F.coalesce("token_id", F.lit(C.UNKNOWN_ID)).alias("id")))
+        )
+        in_order = F.sort_array(F.collect_list("__id"))
+        kept_once = [F.first(c).alias(c) for c in keep]
+        found = ids.groupBy("__row").agg(*kept_once, in_order.alias("__placed")).select(
+            *keep, F.transform("__placed", lambda x: x["id"]).alias("__ids")
+        )
     used = F.size("__ids") + 2
     ids = F.concat(
         F.array(F.lit(C.BEGIN_ID)),

@@ -61,14 +61,15 @@ def score_sarcasm(
         detector = detector_factory()
 
         def answers(prompts: list[str]) -> list:
-            """All at once; if that fails, one by one, so that only the culprits are lost."""
+            """All at once; if that fails, by halves, so that only the culprits are lost, for a few calls each."""
             try:
                 got = list(detector(prompts))
                 if len(got) != len(prompts):
                     raise ValueError("one answer per prompt expected")
                 return got
             except Exception:
-                return [None] if len(prompts) == 1 else [answers([p])[0] for p in prompts]
+                half = len(prompts) // 2
+                return answers(prompts[:half]) + answers(prompts[half:]) if half else [None]
 
         for prompts in batches:
             rows = []
@@ -136,12 +137,15 @@ def sarcasm_counts(df: DataFrame, post: str = "post_id") -> DataFrame:
 def crosstab(
     df: DataFrame, rows: Sequence[str], columns: str, values: Sequence[str]
 ) -> DataFrame:
-    """Counts of every listed value of ``columns`` per ``rows``, zero where there are none.
+    """Counts of every listed value of ``columns`` per ``rows``, zero where there are none, and of all ``other`` ones.
 
-    Naming the values spares the scan that would find them.
+    Naming the values spares the scan that would find them. Missing values count as other, so that a line adds up
+    to its rows.
     """
     counts = [F.count_if(F.col(columns) == v).alias(v) for v in values]
-    keyed = df.where(F.col(columns).isin(list(values)))
+    listed = F.coalesce(F.col(columns).isin(list(values)), F.lit(False))
+    counts.append(F.count_if(~listed).alias("other"))
+    keyed = df
     for key in rows:
         keyed = keyed.where(F.col(key).isNotNull())
     return keyed.groupBy(*rows).agg(*counts)

@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from commentlens import constants as C
 from commentlens import schemas as S
+from commentlens.functions.joins import null_safe_join
 from commentlens.functions.times import parse_comment_time
 from commentlens.operators import dynamics, evaluation, impact, rows, stance, training, triage
 from commentlens.sources import readers, writers
@@ -62,7 +64,8 @@ def triage_classified(
     judged_counts = triage.triage_counts(report).drop("total")
     totals = complete.groupBy("post_id").agg(F.count("*").alias("total"))
     return {
-        "counts": totals.join(judged_counts, "post_id", "left").fillna(0),
+        "counts": null_safe_join(totals, judged_counts, ["post_id"], "left").fillna(0),
+        "crosstab": triage.crosstab(report, ["post_id", "stance"], "sarcasm_label", C.SARCASM_LABELS),
         "sarcasm_counts": triage.sarcasm_counts(report),
         "suspects": triage.suspect_table(report.where(triage.is_suspect())),
         "scatter": triage.triage_scatter(report),
@@ -72,7 +75,7 @@ def triage_classified(
 def measure_impact(report: DataFrame, compat: bool = False) -> dict[str, DataFrame]:
     """All impact tables of an uncertainty report."""
     complete = rows.complete_rows(report, impact.INPUTS)
-    scores = impact.impact_scores(_timed(complete), compat=compat)
+    scores = impact.impact_scores(_timed(complete), compat=compat).persist()  # seven tables are made of it
     # Excerpts are cut first: ranking then moves short rows.
     excerpts = impact.top_comment_table(scores, extra=["post_id", "ord"])
     return {

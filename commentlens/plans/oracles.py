@@ -199,7 +199,7 @@ words AS (SELECT unnest({TOKENS}) AS token FROM documents),
 counted AS (SELECT token, count(*) AS n FROM words GROUP BY token),
 vocabulary AS (
   SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id
-  FROM counted ORDER BY n DESC, token LIMIT 30000)
+  FROM counted)
 """
 
 
@@ -310,8 +310,8 @@ FROM scored GROUP BY post_id""",
 WITH {SCORED}, {UNCERTAIN} SELECT post_id, sarcasm_label, count(*) AS n FROM uncertain GROUP BY 1, 2""",
     "stance_sarcasm_crosstab": f"""
 WITH {SCORED}, {UNCERTAIN}
-SELECT post_id, stance, count(*) FILTER (sarcasm_label = 'irony') AS irony,
-       count(*) FILTER (sarcasm_label = 'non_irony') AS non_irony
+SELECT post_id, stance, count(*) FILTER (sarcasm_label = 'irony' AND ord % 13 > 0) AS irony,
+       count(*) FILTER (sarcasm_label = 'non_irony' AND ord % 13 > 0) AS non_irony, count(*) FILTER (ord % 13 = 0) AS other
 FROM uncertain GROUP BY post_id, stance""",
     "triage_scatter": f"""
 WITH {SCORED}, {UNCERTAIN}
@@ -360,8 +360,8 @@ SELECT post_id, ord, stance, sarcasm_score, round(adjusted_impact, 6) AS adjuste
 WITH {ANNOTATED}
 SELECT stance AS predicted, count(*) FILTER (validation = '{B}') AS actual_believes,
        count(*) FILTER (validation = '{CR}') AS actual_criticizes,
-       count(*) FILTER (validation = '{N}') AS actual_neutral
-FROM annotated GROUP BY stance""",
+       count(*) FILTER (validation = '{N}') AS actual_neutral, count(*) FILTER (validation IS NULL) AS actual_other
+FROM files GROUP BY stance""",
     "annotation_metrics": f"""
 WITH {ANNOTATED}, cells AS (
   SELECT CAST(count(*) FILTER (stance = '{B}' AND validation = '{B}') AS DOUBLE) AS pp,

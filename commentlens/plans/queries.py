@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from commentlens import constants as C
 from commentlens.functions.cues import has_negation, is_blank
 from commentlens.functions.cues import text_cues as cues
-from commentlens.functions.joins import settle
 from commentlens.functions.labels import first_label, top_label
 from commentlens.functions.times import parse_comment_time
 from commentlens.operators import dynamics, evaluation, impact, rows, stance, textmodel, training, triage
@@ -179,7 +178,10 @@ def sarcasm_counts(spark, sf):
 
 @query
 def stance_sarcasm_crosstab(spark, sf):
-    return triage.crosstab(_uncertain(spark, sf), ["post_id", "stance"], "sarcasm_label", C.SARCASM_LABELS)
+    """Every thirteenth comment is one that the detector failed on."""
+    failed = F.when(F.col("ord") % 13 == 0, "error").otherwise(F.col("sarcasm_label"))
+    judged = _uncertain(spark, sf).withColumn("sarcasm_label", failed)
+    return triage.crosstab(judged, ["post_id", "stance"], "sarcasm_label", C.SARCASM_LABELS)
 
 
 @query
@@ -273,8 +275,8 @@ BOX = ("lowest", "q1", "median", "q3", "highest", "lower_fence", "upper_fence")
 
 def _box(spark, sf, by):
     # A box takes several passes; the join behind the scores is made for the first one only.
-    narrow = _impact(spark, sf).select("post_id", "stance", "ord", "adjusted_impact")
-    return rounded(impact.impact_box(settle(narrow), by=by), *BOX)
+    narrow = _impact(spark, sf).select("post_id", "stance", "ord", "adjusted_impact").persist()
+    return rounded(impact.impact_box(narrow, by=by), *BOX)
 
 
 @query
@@ -303,9 +305,9 @@ def confusion(spark, sf):
 
 @query
 def confusion_wide(spark, sf):
-    wide = evaluation.confusion(A.annotated(spark, sf), wide=True)
+    wide = evaluation.confusion(A.annotated(spark, sf, complete=False), wide=True)
     return wide.withColumnsRenamed(
-        {C.BELIEVES: "actual_believes", C.CRITICIZES: "actual_criticizes", C.NEUTRAL: "actual_neutral"}
+        {C.BELIEVES: "actual_believes", C.CRITICIZES: "actual_criticizes", C.NEUTRAL: "actual_neutral", "other": "actual_other"}
     )
 
 

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from commentlens.functions.joins import null_safe_join
 
-ROWS_PER_BLOCK = 1_000_000
+#: Ranges of keys, holding about equally many rows, that are ranked apart from each other.
+BLOCKS = 256
 
 
-def with_ord(
-    df: DataFrame, key: str, post: str = "post_id", rows_per_block: int = ROWS_PER_BLOCK
-) -> DataFrame:
+def with_ord(df: DataFrame, key: str, post: str = "post_id", blocks: int = BLOCKS) -> DataFrame:
     """Add ``ord``: the row's position in its post by ``key``, a unique whole number, from 0.
 
-    Rows are ranked within blocks of consecutive keys. A block of one post cannot hold more
-    rows than it has keys, so even a post with most of all rows is ranked by many tasks. What
-    precedes a block is a running total over one row per block.
+    Rows are ranked within blocks of neighbouring keys, cut at quantiles of the keys that are there: sparse or
+    time-shaped keys make no more blocks than dense ones, and even a post with most of all rows is ranked by many
+    tasks. What precedes a block is a running total over at most ``blocks`` rows per post.
     """
-    block = F.floor(F.col(key) / rows_per_block)
-    blocked = df.withColumn("__block", block)
+    shares = [k / blocks for k in range(1, blocks)]
+    cuts = df.agg(F.percentile_approx(key, shares, 10 * blocks)).scalar()
+    block = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<bigint>")), lambda c: c < F.col(key)))
+    blocked = df.withColumn("__cuts", cuts).withColumn("__block", block).drop("__cuts")
     earlier = Window.partitionBy(post).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         blocked.groupBy(post, "__block")

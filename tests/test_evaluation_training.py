@@ -33,6 +33,8 @@ def test_confusion_keeps_every_row(annotated):
     assert {(r.predicted, r.actual): r.n for r in long.collect()} == {(B, B): 1, (B, K): 1, (K, None): 1, (K, K): 1}
     wide = {r.predicted: (r[B], r[K], r[N]) for r in E.confusion(annotated, wide=True).collect()}
     assert wide[B] == (1, 1, 0) and wide[N] == (0, 0, 0)
+    total = sum(r[B] + r[K] + r[N] + r.other for r in E.confusion(annotated, wide=True).collect())
+    assert total == annotated.count()
 
 
 def matrix(spark, cells):
@@ -100,18 +102,20 @@ def test_vocabulary_and_encoding(spark):
     df = spark.createDataFrame([(0, "b a A, b_1 è"), (1, "a " * 20), (2, None), (3, "zzz!")], "i int, text string")
     vocab = T.build_vocabulary(df, size=3)
     assert [(r.token, r.n, r.token_id) for r in vocab.orderBy("token_id").collect()] == [("a", 22, 4), ("b", 1, 5), ("b_1", 1, 6)]
-    encoded = T.encode_fixed_length(df, vocab, length=8)
-    assert encoded.columns == ["i", "input_ids", "attention_mask"]
-    rows = {r.i: (r.input_ids, r.attention_mask) for r in encoded.collect()}
-    assert rows[0] == ([0, 5, 4, 4, 6, 3, 2, 1], [1] * 7 + [0])
-    assert rows[1] == ([0] + [4] * 6 + [2], [1] * 8)
-    assert rows[2] == ([0, 2] + [1] * 6, [1, 1] + [0] * 6)
-    assert rows[3][0][1] == 3
+    for lookup in (False, True):
+        encoded = T.encode_fixed_length(df, vocab, length=8, lookup=lookup)
+        assert encoded.columns == ["i", "input_ids", "attention_mask"]
+        rows = {r.i: (r.input_ids, r.attention_mask) for r in encoded.collect()}
+        assert rows[0] == ([0, 5, 4, 4, 6, 3, 2, 1], [1] * 7 + [0])
+        assert rows[1] == ([0] + [4] * 6 + [2], [1] * 8)
+        assert rows[2] == ([0, 2] + [1] * 6, [1, 1] + [0] * 6)
+        assert rows[3][0][1] == 3
+    assert T.build_vocabulary(df).count() == 5
 
 
 def test_encoding_does_not_copy_the_table_into_rows(spark):
     df = spark.createDataFrame([(0, "a b")], "i int, text string")
-    plan = T.encode_fixed_length(df, T.build_vocabulary(df))._jdf.queryExecution().optimizedPlan().toString()
+    plan = T.encode_fixed_length(df, T.build_vocabulary(df, size=9), lookup=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "__lookup" not in plan
     assert "Generate" not in plan.split("scalar-subquery")[0]
 

@@ -18,41 +18,23 @@ def skewed(spark):
     )
 
 
-def figures(df):
-    return df.groupBy("post_id").agg(F.max("x").alias("top"), F.count("*").alias("n"))
+def test_attached_figures(skewed):
+    stats = skewed.groupBy("post_id").agg(F.max("x").alias("top"))
+    expected = {r.post_id: r.top for r in stats.collect()}
+    rows = attach(skewed, stats, ["post_id"]).select("post_id", "ord", "top").collect()
+    assert len(rows) == 3000 and len({r.ord for r in rows}) == 3000
+    assert all(r.top == expected[r.post_id] for r in rows)
 
 
-def test_both_ways_of_attaching_agree(skewed):
-    stats = figures(skewed)
-    broadcast = attach(skewed, stats, ["post_id"], "n")
-    dealt = attach(skewed, stats, ["post_id"], "n", broadcast_bytes=300, rows_per_task=100)
-    expected = {(r.post_id): r.top for r in stats.collect()}
-    for got in (broadcast, dealt):
-        rows = got.select("post_id", "ord", "top").collect()
-        assert len(rows) == 3000 and len({r.ord for r in rows}) == 3000
-        assert all(r.top == expected[r.post_id] for r in rows)
-    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().toString()
-
-
-def test_hot_key_is_dealt_over_several_tasks(spark, skewed):
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
+def test_attaching_starts_no_job(spark, skewed):
+    context = spark.sparkContext
+    context.setJobGroup("attach", "attach")
     try:
-        dealt = attach(skewed, figures(skewed), ["post_id"], "n", broadcast_bytes=300, rows_per_task=100)
-        tasks = dealt.where("post_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()
-        assert sum(r["count"] for r in tasks) == 1000
-        assert len(tasks) > 3
+        attach(skewed, skewed.groupBy("post_id").agg(F.max("x").alias("top")), ["post_id"])
+        exact_quantiles(skewed, ["post_id"], "x", {"q1": 0.25})
+        assert not context.statusTracker().getJobIdsForGroup("attach")
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
-def test_too_many_heavy_keys_raise_the_threshold(skewed):
-    dealt = attach(skewed, figures(skewed), ["post_id"], "n", broadcast_bytes=50, rows_per_task=2)
-    assert dealt.count() == 3000
-    assert dealt.where("top is null").count() == 0
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def sample(kind, n, seed):

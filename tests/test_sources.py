@@ -140,8 +140,19 @@ def test_metrics_are_json(spark, tmp_path, posts):
 
 def test_with_ord_counts_across_blocks(spark):
     df = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', if(id % 3 = 1, 'cold', null)) post_id", "id * 7 as key")
-    got = with_ord(df, "key", rows_per_block=100).orderBy("post_id", "key").collect()
+    got = with_ord(df, "key", blocks=10).orderBy("post_id", "key").collect()
     assert len(got) == 1000
     for post in ("hot", "cold", None):
         ords = [r.ord for r in got if r.post_id == post]
         assert ords == list(range(len(ords)))
+
+
+def test_with_ord_of_sparse_keys(spark):
+    """Time-shaped keys: few blocks, however far apart the keys are."""
+    df = spark.range(500).selectExpr("if(id % 3 = 0, 'hot', 'cold') post_id", "id * 86400000000 + id % 7 as key")
+    got = with_ord(df, "key", blocks=8)
+    blocks = got.groupBy("post_id", F.floor(F.col("ord") / 1000)).count().count()
+    assert blocks == 2
+    for post in ("hot", "cold"):
+        rows = [r.ord for r in got.where(F.col("post_id") == post).orderBy("key").collect()]
+        assert rows == list(range(len(rows)))
