@@ -64,7 +64,7 @@ def _queued(docs: DataFrame, sources: DataFrame, cells: DataFrame) -> DataFrame:
 
 def _draw(time: int) -> Column:
     """Sort key of the ``time``-th draw of a document: finish time, then rank of the source and shuffled order."""
-    finish = (F.lit(time) * F.col("source_size") + F.col("cumulative")) / F.col("target")
+    finish = F.try_divide(F.lit(time) * F.col("source_size") + F.col("cumulative"), F.col("target"))
     return F.struct(finish.alias("finish"), F.col("rank").cast("int").alias("rank"), F.lit(time).alias("time"), "order_key", "doc_id", "size")
 
 
