@@ -44,6 +44,8 @@ def recompress(names: np.ndarray, document: np.ndarray, rounds: int) -> tuple[np
     symbols, at = names, np.arange(n)
     low, high = np.arange(n + 2), np.arange(n + 1)
     low[n] = n + 1
+    if not n:
+        return symbols, at, low, high
     for level in range(rounds):
         new = np.ones(len(symbols), bool)
         new[1:] = (symbols[1:] != symbols[:-1]) | (document[at[1:]] != document[at[:-1]])
