@@ -152,7 +152,7 @@ def _base_spans(text):
 
 def test_secrets(spark, sample):
     odd = ["é TOKEN: 'abc123' passwd=short api_key = \"long.enough-1\" APIKEY=xxxxxx", "AKIA" + "Z" * 16 + " AKIA" + "Z" * 15, "deadbeef" * 3 + "G" + "0" * 24,
-           "secret" * 3 + "=abcdefgh", "ghp_" + "a1" * 20 + " xoxb-1234567890ab", "pass\nword=abcdefg", "token:token=abcdefgh", "toKen=abcdefg ſecret=abcdefg"]
+           "secret" * 3 + "=abcdefgh", "ghp_" + "z1" * 20 + " xoxb-1234567890ab", "pass\nword=abcdefg", "token:token=abcdefgh", "toKen=abcdefg ſecret=abcdefg"]
     rows = sample + [(20_000 + i, t) for i, t in H.ODD] + [(30_000 + k, t) for k, t in enumerate(odd)]
     found = secret_scan.find_secrets(spark.createDataFrame(rows, SCHEMA))
     base = secret_scan.as_text(F.filter("secrets", lambda s: s["rule"] < 3))
