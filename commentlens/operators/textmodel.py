@@ -38,7 +38,11 @@ class TextModel(Estimator):
         self.text, self.label = text, label
         self.max_features, self.max_iter = max_features, max_iter
 
-    def _fit(self, dataset: DataFrame) -> PipelineModel:
+    def features(self, dataset: DataFrame) -> tuple[list, DataFrame, int]:
+        """Stages from text to unit TF-IDF vectors, the term counts they rest on (persisted), how many rows.
+
+        Texts are split once for the vocabulary and once for the counts.
+        """
         split = PipelineModel(
             [
                 RegexTokenizer(
@@ -54,25 +58,29 @@ class TextModel(Estimator):
         counter = CountVectorizerModel.from_vocabulary(
             [r.token for r in top.collect()], inputCol="terms", outputCol="counts"
         )
-        numbered = StringIndexer(
-            inputCol=self.label, outputCol="target", stringOrderType="alphabetAsc"
-        ).fit(dataset)
         # Narrow and used by two fits; everything wide is left behind. Lost parts are computed again.
-        counts = counter.transform(split.transform(numbered.transform(dataset)))
-        rows = counts.select("counts", "target").persist()
+        others = [c for c in dataset.columns if c != self.text]
+        rows = counter.transform(split.transform(dataset)).select(*others, "counts").persist()
         idf = IDF(inputCol="counts", outputCol="unused").fit(rows)
         weights = ElementwiseProduct(
             inputCol="counts", outputCol="weighted", scalingVec=DenseVector(idf.idf.toArray() + 1.0)
         )
         unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-        training = unit.transform(weights.transform(rows))
+        return [*split.stages, counter, weights, unit], rows, idf.numDocs
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        stages, rows, n = self.features(dataset.select(self.text, self.label))
+        numbered = StringIndexer(
+            inputCol=self.label, outputCol="target", stringOrderType="alphabetAsc"
+        ).fit(rows)
+        training = PipelineModel([numbered, *stages[-2:]]).transform(rows)
         classifier = LogisticRegression(
             featuresCol="features", labelCol="target", maxIter=self.max_iter, tol=C.TOLERANCE,
-            regParam=1.0 / idf.numDocs, elasticNetParam=0.0, standardization=False,
+            regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
         ).fit(training)
         rows.unpersist()
         named = IndexToString(inputCol="prediction", outputCol="predicted", labels=numbered.labels)
-        return PipelineModel([*split.stages, counter, weights, unit, classifier, named])
+        return PipelineModel([*stages, classifier, named])
 
 
 def text_model(
@@ -84,6 +92,17 @@ def text_model(
     return TextModel(text, label, max_features, max_iter)
 
 
+def term_weights(df: DataFrame, keep: list[str], max_features: int = C.MAX_FEATURES, text: str = "text") -> DataFrame:
+    """The TF-IDF weight of every term of every row: ``keep``, term, weight. Rows have unit length."""
+    model = TextModel(text, "", max_features, 0)
+    stages, rows, _ = model.features(df.select(*keep, text))
+    counter = next(s for s in stages if isinstance(s, CountVectorizerModel))
+    terms = df.sparkSession.createDataFrame(list(enumerate(counter.vocabulary)), "at int, term string")  # max_features at most
+    vectors = PipelineModel(stages[-2:]).transform(rows)
+    each = vectors.select(*keep, F.posexplode(vector_to_array("features")).alias("at", "weight")).where("weight > 0")
+    return each.join(terms, "at").select(*keep, "term", "weight")
+
+
 def as_scorer(model: PipelineModel) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``scores`` (label to probability) without leaving the JVM."""
     labels = next(s for s in model.stages if isinstance(s, IndexToString)).getLabels()

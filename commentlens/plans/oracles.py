@@ -423,6 +423,18 @@ WITH {ANNOTATED}, drawn AS (
 SELECT CASE WHEN draw < round(0.8 * 4294967296) THEN 'train' ELSE 'test' END AS split, validation, count(*) AS n
 FROM drawn GROUP BY 1, 2""",
     "vocabulary": f"WITH {VOCABULARY} SELECT token, n, CAST(token_id AS INTEGER) AS token_id FROM vocabulary",
+    "text_term_weights": f"""
+WITH {ANNOTATED},
+split AS (SELECT doc_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM annotated),
+terms AS (
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
+  FROM split),
+top AS (SELECT term FROM terms GROUP BY term ORDER BY count(*) DESC, term LIMIT 5000),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms JOIN top USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+x AS (
+  SELECT doc_id, term, tf * (ln(((SELECT count(*) FROM annotated) + 1) / (df + 1)) + 1) AS x FROM tf JOIN df USING (term))
+SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""",
     "fixed_length_encoding": f"""
 WITH {VOCABULARY},
 cut AS (SELECT doc_id, {TOKENS}[1:126] AS ws FROM documents),

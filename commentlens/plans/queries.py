@@ -395,6 +395,13 @@ def _labelled_texts(spark, sf):
     return training.hash_split(labelled, ["doc_id"], {"train": 0.8, "test": 0.2})
 
 
+@query
+def text_term_weights(spark, sf):
+    """TF-IDF weights of the labelled texts, as the text model sees them."""
+    texts = A.annotated(spark, sf).select("doc_id", F.col("content").alias("text"))
+    return rounded(textmodel.term_weights(texts, ["doc_id"]), "weight")
+
+
 @query
 def text_model_report(spark, sf):
     """TF-IDF and logistic regression, judged on the part they have not seen."""
