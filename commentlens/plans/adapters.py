@@ -13,7 +13,7 @@ Stances, confidences and sarcasm scores are arithmetic on the document's id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commentlens import constants as C
@@ -84,12 +84,18 @@ def annotated(spark: SparkSession, sf_dir: str, complete: bool = True) -> DataFr
     )
 
 
-def annotated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their position in their language, as annotation files list them."""
+def annotated_files(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """Documents with their position in their language, as annotation files list them; the ``first`` of each, or all.
+
+    Positions are found without the texts. Of the first ones a task passes on ``first`` ids per language at most.
+    """
     ids = table(spark, sf_dir, "documents").select(F.col("lang").alias("post_id"), "doc_id")
-    # Positions are found without the texts.
-    positions = with_ord(ids, "doc_id").select("doc_id", "ord")
-    return annotated(spark, sf_dir, complete=False).join(positions, "doc_id")
+    if first is None:
+        positions = with_ord(ids, "doc_id")
+    else:
+        place = F.row_number().over(Window.partitionBy("post_id").orderBy("doc_id"))
+        positions = ids.withColumn("place", place).where(F.col("place") <= first).withColumn("ord", F.col("place") - 1)
+    return annotated(spark, sf_dir, complete=False).join(positions.select("doc_id", "ord"), "doc_id")
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,17 +325,17 @@ def class_report(spark, sf):
 
 @query
 def validation_values(spark, sf):
-    return evaluation.validation_values(A.annotated_files(spark, sf))
+    return evaluation.validation_values(A.annotated_files(spark, sf, C.ANNOTATED_ROWS))
 
 
 @query
 def missing_validation(spark, sf):
-    return evaluation.missing_validation(A.annotated_files(spark, sf)).select("post_id", "ord", "stance", "content")
+    return evaluation.missing_validation(A.annotated_files(spark, sf, C.ANNOTATED_ROWS)).select("post_id", "ord", "stance", "content")
 
 
 @query
 def gold_labels(spark, sf):
-    return evaluation.gold_labels(A.annotated_files(spark, sf))
+    return evaluation.gold_labels(A.annotated_files(spark, sf, C.ANNOTATED_ROWS))
 
 
 # Training sets

@@ -63,7 +63,7 @@ def test_scans_read_only_what_is_needed(spark, name, columns):
     assert f"ReadSchema: struct<{columns}>" in plan
 
 
-@pytest.mark.parametrize("name", ["post_metrics", "impact_top"])
+@pytest.mark.parametrize("name", ["post_metrics", "impact_top", "gold_labels", "missing_validation"])
 def test_rank_filters_run_before_the_shuffle(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"WindowGroupLimit.*Partial", plan)
