@@ -21,6 +21,11 @@ HYPOTHESIS_TEMPLATE = "This comment {}."
 # Triage.
 CONFIDENCE_THRESHOLD = 0.6
 SARCASM_THRESHOLD = 0.7
+# Where the explanations turn, in the order of their rules: sarcasm above, confidence below, sarcasm below.
+CLEAR_SARCASM, LOW_CONFIDENCE = 0.7, 0.5
+LIKELY_SARCASM = 0.6
+SOME_DOUBT = 0.6
+LITTLE_SARCASM = 0.4
 SARCASM_PROMPT = "detect sarcasm: "
 SARCASM_MAX_CHARS = 512
 SARCASM_LABELS = ("irony", "non_irony")

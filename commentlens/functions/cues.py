@@ -61,6 +61,11 @@ def explanation(
     stance: Column,
     confidence: Column,
     whole_words: bool = False,
+    clear_sarcasm: float = C.CLEAR_SARCASM,
+    low_confidence: float = C.LOW_CONFIDENCE,
+    likely_sarcasm: float = C.LIKELY_SARCASM,
+    some_doubt: float = C.SOME_DOUBT,
+    little_sarcasm: float = C.LITTLE_SARCASM,
 ) -> Column:
     """First rule that holds names the explanation.
 
@@ -73,11 +78,11 @@ def explanation(
         .when(stance == C.NEUTRAL, C.AMBIGUOUS_TONE)
     )
     return (
-        F.when((sarcasm > 0.7) & (confidence < 0.5), by_stance)
-        .when(has_question(content) & (sarcasm > 0.6), C.SARCASTIC_QUESTION)
-        .when(has_emoji(content) & (sarcasm > 0.6), C.SARCASTIC_EMOJI)
-        .when(has_negation(content, whole_words) & (confidence < 0.6), C.SKEPTICAL)
-        .when(has_exclamation(content) & (sarcasm < 0.4), C.STRONG_EMOTION)
+        F.when((sarcasm > clear_sarcasm) & (confidence < low_confidence), by_stance)
+        .when(has_question(content) & (sarcasm > likely_sarcasm), C.SARCASTIC_QUESTION)
+        .when(has_emoji(content) & (sarcasm > likely_sarcasm), C.SARCASTIC_EMOJI)
+        .when(has_negation(content, whole_words) & (confidence < some_doubt), C.SKEPTICAL)
+        .when(has_exclamation(content) & (sarcasm < little_sarcasm), C.STRONG_EMOTION)
         .otherwise(C.NEEDS_REVIEW)
     )
 

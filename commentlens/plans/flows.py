@@ -5,7 +5,7 @@ Models run once: what they produce is written, and everything after reads it bac
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +18,30 @@ from commentlens.operators import dynamics, evaluation, impact, rows, stance, tr
 from commentlens.sources import readers, writers
 
 
-def _timed(df: DataFrame, compat: bool = False) -> DataFrame:
-    return df.withColumn("ts", parse_comment_time(F.col("comment_at"), compat=compat))
+def _timed(df: DataFrame, compat: bool = False, patterns: Sequence[str] = C.COMMENT_TIME_PATTERNS) -> DataFrame:
+    return df.withColumn("ts", parse_comment_time(F.col("comment_at"), patterns, compat=compat))
+
+
+def undated(df: DataFrame, patterns: Sequence[str] = C.COMMENT_TIME_PATTERNS, compat: bool = False) -> DataFrame:
+    """Per post: comments, and those whose time fits no pattern and which dated tables therefore lack."""
+    lost = F.count_if(F.col("comment_at").isNotNull() & F.col("ts").isNull())
+    return _timed(df, compat, patterns).groupBy("post_id").agg(F.count("*").alias("comments"), lost.alias("undated"))
 
 
 def measure_dynamics(
-    spark: SparkSession, posts: str, out: str, compat: bool = False, last_post: str | None = None
+    spark: SparkSession, posts: str, out: str, compat: bool = False, last_post: str | None = None,
+    patterns: Sequence[str] = C.COMMENT_TIME_PATTERNS,
 ) -> dict[str, DataFrame]:
-    """Write the metrics of every post and of all; give the activity curves."""
-    comments = _timed(readers.read_posts(spark, posts), compat)
+    """Write the metrics of every post and of all; give the activity curves and how many comments have no readable time."""
+    texts = readers.read_posts(spark, posts)
+    comments = _timed(texts, compat, patterns)
     writers.write_metrics(dynamics.metrics_report(comments, compat=compat, last_post=last_post), out)
     hourly = dynamics.hourly_counts(comments)
-    return {"hourly_counts": hourly, "hourly_curve": dynamics.hourly_curve(hourly)}
+    return {
+        "hourly_counts": hourly,
+        "hourly_curve": dynamics.hourly_curve(hourly),
+        "undated": undated(texts, patterns, compat),
+    }
 
 
 def classify(
@@ -72,10 +84,12 @@ def triage_classified(
     }
 
 
-def measure_impact(report: DataFrame, compat: bool = False) -> dict[str, DataFrame]:
+def measure_impact(
+    report: DataFrame, compat: bool = False, patterns: Sequence[str] = C.COMMENT_TIME_PATTERNS
+) -> dict[str, DataFrame]:
     """All impact tables of an uncertainty report."""
     complete = rows.complete_rows(report, impact.INPUTS)
-    scores = impact.impact_scores(_timed(complete), compat=compat).persist()  # seven tables are made of it
+    scores = impact.impact_scores(_timed(complete, patterns=patterns), compat=compat).persist()  # seven tables are made of it
     # Excerpts are cut first: ranking then moves short rows.
     excerpts = impact.top_comment_table(scores, extra=["post_id", "ord"])
     return {
@@ -86,6 +100,7 @@ def measure_impact(report: DataFrame, compat: bool = False) -> dict[str, DataFra
         "weakening": impact.top_impact(excerpts, weakening=True),
         "box": impact.impact_box(scores),
         "scatter": impact.impact_scatter(scores),
+        "undated": undated(complete, patterns),
     }
 
 
