@@ -134,16 +134,20 @@ def _candidates(window: int, repeated, batches: Iterator[pa.RecordBatch]) -> Ite
             ids, text_keys = rows.column("doc_id"), rows.column("text_key").to_numpy()
             text = np.searchsorted(w.first, first, "right") - 1
             maybe = np.flatnonzero(in_filter(repeated.value, key))
-            # What the slice has in an earlier document or place is gone; the others meet windows of other slices.
+            # What the slice has in an earlier document or place is gone; the first of each meet windows of other slices.
             order_of = np.empty(rows.num_rows, np.int64)
             filled = ids.fill_null(2**63 - 1).to_numpy()
             order_of[np.lexsort((text_keys, ids.is_null().to_numpy(zero_copy_only=False), filled))] = np.arange(rows.num_rows)
+            start = first - w.first[text]
             rank = np.lexsort((first[maybe], order_of[text[maybe]], prints[maybe]))
-            same = np.zeros(len(maybe), bool)
-            same[rank[1:]] = prints[maybe][rank[1:]] == prints[maybe][rank[:-1]]
+            ranked = maybe[rank]
+            leads = np.r_[True, prints[ranked[1:]] != prints[ranked[:-1]]][: len(ranked)]
+            leader = ranked[np.flatnonzero(leads)[np.cumsum(leads) - 1]]
+            # Rows equal in doc_id and text are one place: their windows neither remove each other nor need to be shown twice.
+            place = [x[text] for x in (filled, ids.is_null().to_numpy(zero_copy_only=False), text_keys)] + [start]
+            elsewhere = np.any([x[ranked] != x[leader] for x in place], axis=0)
             out = []
-            gone, shown = maybe[same], maybe[~same]
-            start = first - w.first[text]
+            gone, shown = np.sort(ranked[elsewhere]), np.sort(ranked[leads])
             for part, column in ((shown, "prints"), (gone, "gone")):
                 if len(part):
                     cut = np.flatnonzero((np.diff(part) != 1) | (np.diff(text[part]) != 0) | ((np.diff(key[part].view(np.int64)) != 0) if column == "prints" else False)) + 1

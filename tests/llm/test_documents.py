@@ -97,6 +97,15 @@ def test_substring_dedup_equal_rows(spark):
     assert sorted((r.doc_id or 99, r.n_removed) for r in got) == [(5, 0), (5, 0), (6, 60), (99, 60)]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_substring_dedup_equal_rows_in_any_slices(spark, parts):
+    twice = H.PASSAGE + " and " + H.PASSAGE
+    rows = [(None, H.PASSAGE + " n"), (5, twice), (5, twice), (6, "a " + H.PASSAGE), (None, "own " * 30), (None, "own " * 30)] + [(None, " ".join(f"q{k}" for k in range(30)))] * 2
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+    want = [(5, 60), (5, 60), (6, 60), (99, 0), (99, 0), (99, 29), (99, 29), (99, 60)]
+    assert sorted((r.doc_id or 99, r.n_removed) for r in got) == want
+
+
 def test_statistics_and_rules(spark, sample):
     rows = sample + [(20_000 + i, t) for i, t in H.ODD]
     got = quality.text_statistics(spark.createDataFrame(rows, SCHEMA)).collect()
