@@ -23,7 +23,7 @@ ROUNDS = 8
 
 _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
 
-# What is looked for. Candidates that fail their test are left as they are.
+# What is looked for. A candidate may run on into what follows; ``_value`` finds its end.
 _PATTERN = re.compile(
     r"""
     (?P<email> (?<![\w.%+-]) [\w.%+-]+ @ [A-Za-z0-9-]+ (?:\.[A-Za-z0-9-]+)+ )
@@ -39,6 +39,28 @@ _PATTERN = re.compile(
     re.VERBOSE,
 )
 _MAY = re.compile(r"[0-9@]")
+_BORDER = re.compile(r"\w(?!\w)")
+
+#: Length of an IBAN by country.
+_IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV NI",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Digits after the calling code where all numbers, or all but a few, have as many.
+_PHONE_DIGITS = {
+    code: n
+    for n, codes in {
+        10: "1 7 30 44 52 57 58 63 90 91 92 98", 9: "27 31 33 34 40 41 48 51 56 84 93 94 212 213 233 251 254 255 256 351 380 420 421 966 971",
+        8: "45 47 53 65 216 371 370 373 374 386 387 502 503 504 505 506 507 852 853 965 968 973 974",
+        7: "354 960",
+    }.items()
+    for code in codes.split()
+}
 
 
 def feistel(key: bytes, tweak: str, a: int, b: int, size_a: int, size_b: int) -> tuple[int, int]:
@@ -176,21 +198,52 @@ def pseudonym(key: bytes, kind: str, text: str) -> str | None:
     return {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "card": _card}[kind](key, text)
 
 
+def _value(key: bytes, kind: str, text: str, m: re.Match) -> tuple[int, str | None]:
+    """Where the value that a candidate begins with ends, and its pseudonym; None if none of its ends makes a valid value.
+
+    Of an IBAN or a telephone number the end that the country's length asks for comes first, then the last one.
+    """
+    ends = [m.end()]
+    if kind in ("iban", "phone"):
+        ends += [b.end() for b in _BORDER.finditer(text, m.start(), m.end()) if b.end() < m.end()][::-1]
+        ends = [e for e in ends if (part := _PATTERN.fullmatch(text, m.start(), e)) and part[kind] is not None]
+        ends.sort(key=lambda e: _unlikely(kind, text, m.start(), e))
+    for end in ends:
+        if (new := pseudonym(key, kind, text[m.start() : end])) is not None:
+            return end, new
+    return m.end(), None
+
+
+def _unlikely(kind: str, text: str, start: int, end: int) -> tuple:
+    """Ends that are more likely come first: of the usual length, not inside what dots or hyphens hold together, the longest."""
+    value = text[start:end]
+    inside = re.match(r"[.-]\w", text[end : end + 2]) is not None
+    if kind == "iban":
+        usual = len(value.replace(" ", "")) == _IBAN_LENGTH.get(value[:2])
+    else:
+        digits = "".join(c for c in value if c.isdigit())
+        code = next((digits[:k] for k in (1, 2, 3) if digits[:k] in _PHONE_DIGITS), "")
+        usual = len(digits) - len(code) == _PHONE_DIGITS.get(code)
+    return not usual, inside, -end
+
+
 def pseudonymised(key: bytes, text: str) -> tuple[str, list[int]]:
     """The text with pseudonyms, and how many of each kind."""
     counts = [0] * len(KINDS)
     if not _MAY.search(text):
         return text, counts
 
-    def new(m: re.Match) -> str:
+    out, done, at = [], 0, 0
+    while m := _PATTERN.search(text, at):
         kind = next(k for k in KINDS if m[k] is not None)
-        out = pseudonym(key, kind, m[0])
-        if out is None:
-            return m[0]
+        end, new = _value(key, kind, text, m)
+        if new is None:  # what follows the first token may be a value
+            at = _BORDER.search(text, m.start()).end()
+            continue
         counts[KINDS.index(kind)] += 1
-        return out
-
-    return _PATTERN.sub(new, text), counts
+        out += [text[done : m.start()], new]
+        done = at = end
+    return "".join([*out, text[done:]]), counts
 
 
 def _replace(key: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +259,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and n_email, n_iban, n_date, n_ip, n_phone, n_ssn, n_card.
 
     Whole texts are searched; a candidate that fails its test (a number without a valid check digit, a day that doesn't
-    exist) stays. ``key`` is secret: with it, and only with it, pseudonyms can be computed. A null text stays null. Columns
+    exist) stays, and the search goes on after its first token. Where a value is followed by another, each is replaced. A telephone
+    number of a country without a usual length takes in a short number right after it. ``key`` is secret: with it, and only with it, pseudonyms can be computed. A null text stays null. Columns
     named like the counts are replaced, all others passed on. Row by row, so repeated rows agree and no rows give no rows.
     """
     counts = [f"n_{k}" for k in KINDS]

@@ -197,6 +197,21 @@ def test_pseudonyms(spark):
     assert pii._luhn(got[6].text[:-1]) == int(got[6].text[-1])
 
 
+def test_pseudonyms_of_values_that_follow_each_other():
+    alone = lambda t: pii.pseudonymised(b"k", t)[0]
+    phone, iban, card = "+1 (826) 555-4081", "ES91 2100 0418 4502 0005 1332", "4242 4242 4242 4242"
+    values = [phone, iban, card, "190.137.223.204", "AT611904300234573201", "+45 12 34 56 78", "078-05-1120", "31.12.1999", "2020-02-29", "ann@mail.example.com", "DE89370400440532013000"]
+    assert all(alone(v) != v for v in values)
+    for a in values:
+        for b in values:
+            got, counts = pii.pseudonymised(b"k", f"{a} {b}")
+            assert got == f"{alone(a)} {alone(b)}" and sum(counts) == 2, (a, b)
+    for value, rest in [(phone, "19"), (phone, "19 apples"), (iban, "EUR"), ("AT611904300234573201", "2020"), ("AT611904300234573201", "2020 EUR")]:
+        assert alone(f"{value} {rest}") == f"{alone(value)} {rest}"
+    assert alone(f"1805 {card}") == f"1805 {alone(card)}" and alone(f"AB12 {iban}") == f"AB12 {alone(iban)}"
+    assert alone("+1 555 1234") != "+1 555 1234" and alone("1805396481774513 999.1.1.1") == "1805396481774513 999.1.1.1"
+
+
 def test_feistel_is_a_permutation():
     assert len({pii.feistel(b"k", "t", a, b, 13, 7) for a in range(13) for b in range(7)}) == 91
     assert len({tuple(pii.permute(b"k", "t", [a, b, c], [3, 10, 2])) for a in range(3) for b in range(10) for c in range(2)}) == 60
