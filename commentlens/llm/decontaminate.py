@@ -1,10 +1,14 @@
-"""Benchmark items inside documents: size-partitioned MinHash containment search, verified exactly.
+"""Benchmark items inside documents: lookup of short items, size-partitioned MinHash containment search, verified exactly.
 
-Items are partitioned by size, each with the smallest power of two that holds its shingles. For such a size, a document
-is seen as windows of two adjacent blocks of that many shingles, so a passage as long as the item lies in one window that
-is at most four times its size, however long the document is. Item and window then have a Jaccard similarity of about a
-quarter or more, and share one of 64 minima practically always (a miss is rarer than one in ten thousand at the lowest
-containment, than one in ten million for a whole item). Window minima of a size come from those of the size below.
+An item of up to 16 shingles is looked up by its rarest shingles, one more than a document may lack: one of them is in
+every document that holds enough, so no short item is missed.
+
+Longer items are partitioned by size, each with the smallest power of two that holds its shingles. For such a size, a
+document is seen as windows of two adjacent blocks of that many shingles, so a passage as long as the item lies in one window
+that is at most four times its size, however long the document is. Item and window then have a Jaccard similarity of about a
+quarter (0.176 at the lowest containment and the least favourable size), and share one of 64 minima practically always: a miss
+has a probability under one in ten million for a whole item (0.75 ** 64), under one in two hundred thousand at the lowest
+containment (0.824 ** 64). Window minima of a size come from those of the size below.
 Candidates are verified by counting the item's shingles in the whole document.
 """
 
@@ -24,7 +28,10 @@ from commentlens.llm.words import Words, mix, one_sequence, signed, slices, u64
 PERCENT = 75
 SHINGLE_WORDS = 5
 HASHES = 64
-BASE = 16
+#: Items of more shingles than this are found by minima, the others by their shingles.
+LOOKED_UP = 16
+#: Shingles of the smallest block.
+BASE = 2 * LOOKED_UP
 #: Bytes of item texts that are searched for in one pass over the documents; more items take more passes.
 ITEM_BYTES = 16 << 20
 
@@ -39,8 +46,8 @@ def _minima(names: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _index(ids: list, texts: list, words: int) -> dict:
-    """What a pass needs of its items: their ids and shingles, and by size the minima that lead to an item.
+def _index(ids: list, texts: list, words: int, percent: int) -> dict:
+    """What a pass needs of its items: their ids and shingles, and what leads to an item: shingles, or by size its minima.
 
     Plain arrays, which workers can read without this package.
     """
@@ -50,11 +57,14 @@ def _index(ids: list, texts: list, words: int) -> dict:
     grams = w.grams(words)
     shingles: list[np.ndarray] = []
     short: dict[int, list[int]] = {}
+    looked_up: list[int] = []
     by_size: dict[int, list[int]] = {}
     for k, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
         shingles.append(np.unique(grams[a : max(a, b - words + 1)]))
         if 0 < b - a < words:
             short.setdefault(int(one_sequence(w.names[a:b])), []).append(k)
+        elif b > a and len(shingles[k]) <= LOOKED_UP:
+            looked_up.append(k)
         elif b > a:
             by_size.setdefault(max(BASE, 1 << (len(shingles[k]) - 1).bit_length()), []).append(k)
     sizes = {}
@@ -66,7 +76,37 @@ def _index(ids: list, texts: list, words: int) -> dict:
         hint = np.zeros(1 << max(12, (keys.size * 16).bit_length()), bool)
         hint[(minima & np.uint32(hint.size - 1)).ravel()] = True
         sizes[size] = keys[order], np.tile(members, HASHES)[order], hint
-    return {"ids": ids, "shingles": shingles, "short": short, "sizes": sizes}
+    return {"ids": ids, "shingles": shingles, "short": short, "sizes": sizes, "rare": _rare(shingles, looked_up, percent)}
+
+
+def _rare(shingles: list[np.ndarray], members: list[int], percent: int) -> tuple | None:
+    """Of each member as many shingles as a document that holds enough can't lack, those that few members have: sorted, with their items."""
+    if not members:
+        return None
+    known, held = np.unique(np.concatenate([shingles[k] for k in members]), return_counts=True)
+    keys, items = [], []
+    for k in members:
+        n = len(shingles[k])
+        needed = max(1, int(-(-percent * n // 100)))
+        few = np.argsort(held[np.searchsorted(known, shingles[k])], kind="stable")[: n - needed + 1]
+        keys.append(shingles[k][few])
+        items.append(np.full(len(few), k))
+    keys, items = np.concatenate(keys), np.concatenate(items)
+    order = np.argsort(keys, kind="stable")
+    hint = np.zeros(1 << max(12, (keys.size * 16).bit_length()), bool)
+    hint[keys & u64(hint.size - 1)] = True
+    return keys[order], items[order], hint
+
+
+def _holders(rare: tuple, names: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, item) pairs that share a rare shingle, once each."""
+    keys, items, hint = rare
+    at = np.flatnonzero(hint[names & u64(hint.size - 1)])
+    low, high = np.searchsorted(keys, names[at], "left"), np.searchsorted(keys, names[at], "right")
+    many = high - low
+    place = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+    pairs = np.unique(np.column_stack([np.repeat(document[at], many), items[place]]), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _meet(one_size: tuple, minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +134,9 @@ def _search(items, words: int, percent: int, batches: Iterator[pa.RecordBatch])
             first = np.r_[0, np.cumsum(counts)]
             blocks = -(-counts // BASE)
             hits: list[tuple[int, int]] = []
+            if len(names) and known["rare"]:
+                holder, item = _holders(known["rare"], names, np.repeat(np.arange(len(counts)), counts))
+                hits += zip(holder.tolist(), item.tolist(), strict=True)
             if len(names) and sizes:
                 document = np.repeat(np.arange(len(counts)), blocks)
                 within = np.arange(len(document)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -139,7 +182,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = SHINGLE_WORD
     parts = []
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).toArrow()
-        known = docs.sparkSession.sparkContext.broadcast(_index(part["item_id"].to_pylist(), part["text"].to_pylist(), words))
+        known = docs.sparkSession.sparkContext.broadcast(_index(part["item_id"].to_pylist(), part["text"].to_pylist(), words, percent))
         parts.append(keyed.mapInArrow(partial(_search, known, words, percent), "doc_id long, text_key long, item_id long, n_item long, n_found long"))
     return union_all(parts)
 

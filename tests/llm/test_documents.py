@@ -74,6 +74,22 @@ def test_decontaminate(spark, sample):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 25
 
 
+def test_decontaminate_short_items_in_long_texts(spark):
+    """Items of 5 to 24 words, whole and with a changed word, inside long texts and at their ends."""
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(5 + k % 20 if k % 2 else 5 + k % 4))) for k in range(200)]
+    rows = []
+    for k, item in items:
+        w = item.split()
+        if k % 5 == 4:
+            w[-1] = "changed"
+        filler = [f"f{k}y{j}" for j in range(600)]
+        at = (0, 37, 300, 600)[k % 4]
+        rows.append((k, " ".join(filler[:at] + w + filler[at:])))
+    got = decontaminate.contained_items(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(i, i) for (i, t), (_, item) in zip(rows, items, strict=True) if H.leaks(t, item)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and 150 < len(want) < 200
+
+
 def test_decontaminate_in_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 200)
     docs = spark.createDataFrame(H.ODD, SCHEMA)
