@@ -2,7 +2,8 @@
 
 Dated entries (listed, unlisted) of a key become validity intervals. A key is a host, a parent domain or the beginning
 of a path. Intervals are cut at period borders and gathered by key and period, so that a capture meets one row for each of
-its keys: the as-of join is an equality join, and a hot host is spread over periods. DataFrame functions only.
+its keys: the as-of join is an equality join, and a hot host is spread over periods. A capture has all keys that its URL
+holds, however deep, a row each while they are joined. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -12,22 +13,25 @@ from pyspark.sql import functions as F
 
 #: Seconds of a period: 30 days.
 PERIOD = 30 * 86_400
-#: Domains above the host, and leading parts of the path, that entries may name.
+#: Domains above the host, and leading parts of the path, that ``url_keys`` names; captures are judged by all.
 PARENTS = 2
 PATH_PARTS = 1
 
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::[0-9]*)?([^?#]*)"
 
 
+def _host_and_path(url: Column) -> tuple[Column, Column, Column]:
+    host = F.rtrim(F.lower(F.regexp_extract(url, _URL, 1)), F.lit("."))
+    host = F.when(F.length(host) > 0, host)
+    return host, F.split(host, r"\."), F.filter(F.split(F.regexp_extract(url, _URL, 2), "/"), lambda p: p != "")
+
+
 def url_keys(url: Column, parents: int = PARENTS, path_parts: int = PATH_PARTS) -> dict[str, Column]:
-    """The keys of a URL, most special first: host with leading path parts, host, parent domains of two labels or more.
+    """Keys of a URL by name, most special first: host with leading path parts, host, parent domains of two labels or more.
 
     Hosts are in lower case without a final dot. A URL without scheme and host has no keys.
     """
-    host = F.rtrim(F.lower(F.regexp_extract(url, _URL, 1)), F.lit("."))
-    host = F.when(F.length(host) > 0, host)
-    labels = F.split(host, r"\.")
-    path = F.filter(F.split(F.regexp_extract(url, _URL, 2), "/"), lambda p: p != "")
+    host, labels, path = _host_and_path(url)
     out = {}
     for k in range(path_parts, 0, -1):
         out[f"path{k}"] = F.when(F.size(path) >= k, F.concat(host, F.lit("/"), F.array_join(F.slice(path, 1, k), "/")))
@@ -38,6 +42,14 @@ def url_keys(url: Column, parents: int = PARENTS, path_parts: int = PATH_PARTS)
     return out
 
 
+def all_keys(url: Column, path_parts: int) -> Column:
+    """Array of the keys of a URL, most special first: with up to ``path_parts`` leading path parts, and every parent domain."""
+    host, labels, path = _host_and_path(url)
+    deep = F.transform(F.slice(path, 1, path_parts), lambda _, k: F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), k + 1), "/")))
+    wide = F.transform(labels, lambda _, k: F.array_join(F.slice(labels, k + 1, F.size(labels)), "."))
+    return F.concat(F.reverse(deep), F.filter(wide, lambda _, k: (k == 0) | (F.size(labels) - k >= 2)))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """(key, start, end, reason): half-open intervals in seconds in which a key is listed, from entries (key, at, listed, reason).
 
@@ -58,27 +70,27 @@ def _by_period(intervals: DataFrame, horizon: Column, period: int) -> DataFrame:
     return cut.groupBy("key", "period").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, period: int = PERIOD, parents: int = PARENTS, path_parts: int = PATH_PARTS) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame, period: int = PERIOD) -> DataFrame:
     """``captures`` (url, fetched: seconds, and any other columns) with blocked, matched_key, listed_since, reason.
 
-    The most special key that is listed at the time decides. A capture without URL, host or time is not blocked. Repeated
-    captures are judged alike; columns named like the added ones are replaced. No entries block nothing.
+    The most special key that is listed at the time decides: leading path parts, most first, then the host, then its parent
+    domains, at any depth. A capture without URL, host or time is not blocked. Repeated captures are judged alike; columns named
+    like the added ones are replaced. No entries block nothing.
     """
     added = ["blocked", "matched_key", "listed_since", "reason"]
     out = captures.drop(*added)
     names = out.columns
     horizon = out.agg(F.max("fetched")).first()[0]  # intervals without an end are cut off there
     spans = _by_period(validity(entries), F.coalesce(F.lit(horizon).cast("long"), F.col("start")), period)
-    hit = None
-    for k, key in enumerate(url_keys(F.col("url"), parents, path_parts).values()):
-        side = spans.select(F.col("key").alias("__key"), F.col("period").alias("__period"), F.col("spans").alias(f"__spans{k}"))
-        out = out.withColumn(f"__key{k}", key)
-        at = F.floor(F.col("fetched") / period)
-        out = out.join(side, (F.col(f"__key{k}") == F.col("__key")) & (at == F.col("__period")), "left").drop("__key", "__period")
-        active = F.filter(f"__spans{k}", lambda s: (s["start"] <= F.col("fetched")) & (s["end"].isNull() | (F.col("fetched") < s["end"])))
-        found = F.when(F.size(active) > 0, F.struct(F.col(f"__key{k}").alias("key"), F.get(active, F.lit(0)).alias("span")))
-        hit = found if hit is None else F.coalesce(hit, found)
-    out = out.withColumn("__hit", hit)
+    deepest = entries.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0]  # longer keys of a capture meet no entry
+    known = out.where("url IS NOT NULL AND fetched IS NOT NULL").select(F.col("url").alias("__url"), F.col("fetched").alias("__fetched")).distinct()
+    keys = F.posexplode(all_keys(F.col("__url"), max(0, deepest or 0))).alias("rank", "key")
+    keyed = known.select("__url", "__fetched", F.floor(F.col("__fetched") / period).alias("period"), keys)
+    active = F.filter("spans", lambda s: (s["start"] <= F.col("__fetched")) & (s["end"].isNull() | (F.col("__fetched") < s["end"])))
+    met = keyed.join(spans, ["key", "period"]).select("__url", "__fetched", "rank", "key", F.get(active, F.lit(0)).alias("span"))
+    first = F.min(F.struct("rank", "key", "span")).alias("__hit")
+    hits = met.where("span IS NOT NULL").groupBy("__url", "__fetched").agg(first)
+    out = out.join(hits, (F.col("url") == F.col("__url")) & (F.col("fetched") == F.col("__fetched")), "left")
     return out.select(
         *names,
         F.col("__hit").isNotNull().alias("blocked"),

@@ -133,3 +133,14 @@ def test_captures(spark):
     none = spark.createDataFrame([], "key string, at long, listed boolean, reason string")
     assert url_filter.filter_captures(captures, none).where("blocked").count() == 0
     assert url_filter.filter_captures(captures.limit(0), none).count() == 0
+
+
+def test_captures_of_deep_hosts_and_paths(spark):
+    entries = [("example.com", 0, True, "domain"), ("host.net/a/b", 0, True, "path"), ("host.net/a/b/c/d", 50, True, "deep"), ("x.y.z.host.org", 0, True, "sub"), ("host.org", 0, True, "root")]
+    want = {
+        "http://a.b.c.d.example.com/q": "example.com", "http://host.net/a/b": "host.net/a/b", "http://host.net/a//b/c/d/e?q": "host.net/a/b/c/d",
+        "http://host.net/a/c/b": None, "http://host.net/a": None, "http://w.x.y.z.host.org/": "x.y.z.host.org", "http://v.w.y.z.host.org": "host.org", "http://notexample.com": None,
+    }
+    captures = spark.createDataFrame([(u, 100) for u in want] * 2, "url string, fetched long")
+    got = url_filter.filter_captures(captures, spark.createDataFrame(entries, "key string, at long, listed boolean, reason string")).collect()
+    assert len(got) == 2 * len(want) and all(r.matched_key == want[r.url] and r.blocked == (want[r.url] is not None) for r in got)
