@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, substring_dedup, url_filter
+from commentlens.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, spelling, substring_dedup, url_filter
 from commentlens.llm.common import settle, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,3 +261,46 @@ ORACLES["op10_url_filter"] = r"""
     SELECT p.page_id, url, fetched, m.key IS NOT NULL AS blocked, m.key AS matched_key, m.start AS listed_since, m.reason
     FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1
 """
+
+#: Every so many runs, by a checksum of document and run, loses a letter: the planted slips of the pen.
+_SLIP = 199
+
+
+@query
+def op13_spelling_variants(spark, sf):
+    """Words of the documents with the spelling that they are a variant of."""
+    counted = spelling.word_counts(table(spark, sf, "documents"), slip_every=_SLIP)
+    return spelling.variant_forms(counted.where((F.length("word") >= 6) & (F.col("n") >= 5)))
+
+
+ORACLES["op13_spelling_variants"] = r"""
+    WITH t AS (
+      SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+      FROM range(256) r(i)),
+    r AS (
+      SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+        FROM documents) GROUP BY ALL),
+    x AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+    b AS (SELECT run, n, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS b FROM x),
+    h AS (SELECT run, n, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS h FROM b, t),
+    w AS (
+      SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM h GROUP BY ALL),
+    v AS MATERIALIZED (SELECT * FROM w WHERE length(word) >= 6 AND n >= 5),
+    c AS MATERIALIZED (SELECT DISTINCT word, length(word) AS l, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+      FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    p AS (
+      SELECT a.word AS a, b.word AS b FROM c a JOIN c b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+      UNION SELECT c.word, v.word FROM c JOIN v ON c.cut = v.word
+      UNION SELECT v.word, c.word FROM c JOIN v ON c.cut = v.word),
+    g AS (
+      SELECT a AS word, count(*) AS n_near, max(v.n) AS top, arg_min(b, (-v.n, b)) AS best FROM p JOIN v ON b = v.word GROUP BY a),
+    f AS (
+      SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN best END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n
+      FROM v LEFT JOIN g ON v.word = g.word),
+    s AS (
+      WITH RECURSIVE u AS (SELECT word, word AS root FROM f UNION ALL SELECT u.word, f.form FROM u JOIN f ON u.root = f.word WHERE f.form IS NOT NULL)
+      SELECT u.word, u.root FROM u JOIN f ON u.root = f.word WHERE f.form IS NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN s ON f.word = s.word
+"""

@@ -37,12 +37,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> u64(31))
 
 
+def lower_case(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 class Words:
-    """``starts``, ``ends``: byte positions in ``data``. ``names``: 64-bit names. Words of text t: first[t] to first[t + 1]."""
+    """Runs of the bytes that ``inside`` marks, or of what is not white space.
+
+    ``starts``, ``ends``: byte positions in ``data``. ``names``: 64-bit names. Words of text t: first[t] to first[t + 1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False, inside: np.ndarray | None = None):
         self.data, self.offsets = (_LOWER[data] if lower else data), offsets
-        inside = (_IN_PLAIN_WORD if plain else _IN_WORD)[data]
+        if inside is None:
+            inside = (_IN_PLAIN_WORD if plain else _IN_WORD)[data]
         begins, finishes = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         finishes[:-1] &= ~inside[1:]
