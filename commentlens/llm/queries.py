@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, spelling, substring_dedup, url_filter
-from commentlens.llm.common import settle, table, words
+from commentlens.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, spelling, substring_dedup, url_filter, warc
+from commentlens.llm.common import settle, shared_folder, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -262,6 +263,35 @@ ORACLES["op10_url_filter"] = r"""
     FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1
 """
 
+@query
+def op12_warc_records(spark, sf):
+    """Every page written to an archive and read back: its payload, and which record holds it."""
+    archives = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf, "pages"), archives)
+    captures = settle(
+        warc.assemble(warc.read_records(spark, archives, payload=False)).select(
+            "id", F.expr("try_cast(metadata.fields['capture-key'] AS bigint)").alias("page_id"),
+            "capture.type", "capture.digest", "capture.payload_bytes", "capture.refers_to",
+        )
+    )
+    kept = captures.select(F.col("id").alias("refers_to"), F.col("page_id").alias("kept_page"), F.col("payload_bytes").alias("kept_bytes"))
+    return captures.join(kept, "refers_to", "left").select(
+        "page_id", F.coalesce("kept_bytes", "payload_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("kept_page").alias("refers_to"),
+    )
+
+
+ORACLES["op12_warc_records"] = r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS kept FROM p)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+      array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+      CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+    FROM k
+"""
+
+
 #: Every so many runs, by a checksum of document and run, loses a letter: the planted slips of the pen.
 _SLIP = 199
 
