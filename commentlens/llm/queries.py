@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlens.llm import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, spelling, substring_dedup, url_filter, warc
+from commentlens.llm import alignment, chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secret_scan, spelling, substring_dedup, url_filter, warc
 from commentlens.llm.common import settle, shared_folder, table, words
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,6 +263,16 @@ ORACLES["op10_url_filter"] = r"""
     FROM p LEFT JOIN m ON p.page_id = m.page_id AND r = 1
 """
 
+#: Where the public tokenizers' files are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op11_token_alignment(spark, sf):
+    """How two tokenizers' tokens cover every document."""
+    return alignment.align(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 @query
 def op12_warc_records(spark, sf):
     """Every page written to an archive and read back: its payload, and which record holds it."""

@@ -116,7 +116,7 @@ def shingles(w: Words, n: int = 5) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of a batch a few megabytes of text at a time: (rows, UTF-8 bytes, offsets). A null text is empty."""
     column = batch.column(text).cast(pa.large_binary())
     if column.null_count:
@@ -125,7 +125,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.Recor
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
