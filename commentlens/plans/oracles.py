@@ -203,6 +203,73 @@ vocabulary AS (
 """
 
 
+SUBWORD_ROUNDS, SUBWORD_PAIRS = 6, 48
+_NEIGHBOURS = "unnest(list_transform(range(1, len(s)), lambda i: {{'a': s[i], 'b': s[i + 1]}}))".replace("{{", "{").replace("}}", "}")
+_JOINED = (
+    "list_filter(list_transform(range(1, len(s) + 1), lambda i:"
+    " CASE WHEN i > 1 AND list_contains(m, s[i - 1] || '|' || s[i]) THEN NULL"
+    " WHEN i < len(s) AND list_contains(m, s[i] || '|' || s[i + 1]) THEN s[i] || s[i + 1] ELSE s[i] END), lambda x: x IS NOT NULL)"
+)
+
+
+def _best_pairs(source: str, by: str) -> str:
+    """Pairs of each round, in order, that overlap no better one; words of no count, which only labels have, add nothing."""
+    return f"""
+  SELECT {by} a, b, c, row_number() OVER (PARTITION BY {by} 1 ORDER BY k) AS k FROM (
+    SELECT r.*, (SELECT min(k) FROM r q WHERE q.a = r.b {'AND q.round = r.round' if by else ''}) AS x,
+      (SELECT min(k) FROM r q WHERE q.b = r.a {'AND q.round = r.round' if by else ''}) AS y
+    FROM r) WHERE c >= 2 AND (x IS NULL OR k < x) AND (y IS NULL OR k < y)
+  QUALIFY row_number() OVER (PARTITION BY {by} 1 ORDER BY k) <= {SUBWORD_PAIRS}"""
+
+
+def _ranked_pairs(source: str, by: str) -> str:
+    return f"""r AS (
+    SELECT *, row_number() OVER (PARTITION BY {by} 1 ORDER BY c DESC, a, b) AS k FROM (
+      SELECT {by} x.a AS a, x.b AS b, sum(n)::BIGINT AS c FROM (SELECT {by} n, {_NEIGHBOURS} AS x FROM {source}) GROUP BY ALL))"""
+
+
+SUBWORDS = f"""
+words AS (SELECT unnest({TOKENS}) AS token FROM documents),
+counted AS (SELECT token AS word, count(*) AS n FROM words GROUP BY token),
+seen AS (
+  SELECT * FROM counted
+  UNION ALL SELECT w, 0 FROM (SELECT unnest(regexp_extract_all('{B} {CR} {N}', '[a-z]+')) AS w) WHERE w NOT IN (SELECT word FROM counted) GROUP BY w),
+learned AS (
+  SELECT 0 AS round, word, n, list_transform(range(1, length(word) + 1), lambda i: CASE WHEN i = 1 THEN '▁' ELSE '' END || word[i]) AS s FROM seen
+  UNION ALL
+  SELECT round + 1, word, n, {_JOINED}
+  FROM learned, (
+    WITH {_ranked_pairs('learned', '')} SELECT coalesce(list(a || '|' || b), []) AS m FROM ({_best_pairs('learned', '')}))
+  WHERE round < {SUBWORD_ROUNDS}),
+taken AS (WITH {_ranked_pairs(f'(SELECT * FROM learned WHERE round < {SUBWORD_ROUNDS})', 'round,')} {_best_pairs('', 'round,')}),
+every AS (
+  SELECT token, n, 0 AS round, row_number() OVER (ORDER BY n DESC, token) AS k FROM (
+    SELECT token, sum(n)::BIGINT AS n FROM (SELECT unnest(s) AS token, n FROM learned WHERE round = 0 AND n > 0) GROUP BY token)
+  UNION ALL SELECT a || b, c, round + 1, k FROM taken),
+subwords AS (
+  SELECT token, n, round, row_number() OVER (ORDER BY round, k) + 3 AS token_id
+  FROM every QUALIFY row_number() OVER (PARTITION BY token ORDER BY round, k) = 1),
+spelled AS (
+  SELECT word, list(coalesce(token_id, 3) ORDER BY place) AS ids FROM (
+    SELECT word, unnest(s) AS token, generate_subscripts(s, 1) AS place FROM learned WHERE round = {SUBWORD_ROUNDS})
+  LEFT JOIN subwords USING (token) GROUP BY word)
+"""
+
+
+def _subword_ids(text: str, source: str, name: str) -> str:
+    return f"""
+spread_{name} AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM (SELECT doc_id, {TOKENS.replace('text', text)}[1:126] AS w FROM {source})),
+ids_{name} AS (SELECT doc_id, flatten(list(ids ORDER BY place)) AS {name} FROM spread_{name} JOIN spelled USING (word) GROUP BY doc_id)"""
+
+
+def _padded(ids: str, length: int) -> str:
+    return f"""
+SELECT doc_id, array_to_string(list_concat(ids, list_transform(range({length} - len(ids)), lambda x: 1)), ' ') AS input_ids,
+  array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range({length} - len(ids)), lambda x: 0)), ' ') AS attention_mask
+FROM ({ids})"""
+
+
 def _logit(multiplier: int) -> str:
     return f"(doc_id * {multiplier} % 11 - 5) / 2.0::DOUBLE"
 
@@ -450,6 +517,19 @@ SELECT doc_id,
        array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(128 - len(ids)), lambda x: 0)), ' ')
          AS attention_mask
 FROM marked""",
+    "subword_vocabulary": f"""
+WITH RECURSIVE {SUBWORDS} SELECT token, n, CAST(round AS INTEGER) AS round, CAST(token_id AS INTEGER) AS token_id FROM subwords""",
+    "subword_encoding": f"""
+WITH RECURSIVE {SUBWORDS}, {_subword_ids('text', 'documents', 'a')}
+{_padded("SELECT doc_id, list_concat(list_concat([0], coalesce(a, [])[1:126]), [2]) AS ids FROM documents LEFT JOIN ids_a USING (doc_id)", 128)}""",
+    "subword_pair_encoding": f"""
+WITH RECURSIVE {ANNOTATED}, {SUBWORDS}, {_subword_ids('content', 'annotated', 'a')}, {_subword_ids('validation', 'annotated', 'b')},
+both_ids AS (
+  SELECT doc_id, coalesce(a, [])[1:60] AS a, coalesce(b, [])[1:60] AS b
+  FROM annotated LEFT JOIN ids_a USING (doc_id) LEFT JOIN ids_b USING (doc_id)),
+cut_b AS (SELECT doc_id, a, b[1:greatest(60 - len(a), 30)] AS b FROM both_ids),
+cut_both AS (SELECT doc_id, a[1:60 - len(b)] AS a, b FROM cut_b)
+{_padded("SELECT doc_id, flatten([[0], a, [2, 2], b, [2]]) AS ids FROM cut_both", 64)}""",
     "model_agreement": f"""
 WITH logits AS (
   SELECT doc_id, {_logit(3)} AS t0, {_logit(5)} AS t1, {_logit(7)} AS t2,

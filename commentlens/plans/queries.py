@@ -12,7 +12,7 @@ from commentlens.functions.cues import has_negation, is_blank
 from commentlens.functions.cues import text_cues as cues
 from commentlens.functions.labels import first_label, top_label
 from commentlens.functions.times import parse_comment_time
-from commentlens.operators import dynamics, evaluation, impact, rows, stance, textmodel, training, triage
+from commentlens.operators import dynamics, evaluation, impact, rows, stance, subwords, textmodel, training, triage
 from commentlens.plans import adapters as A
 from commentlens.sources.ordinals import with_ord
 
@@ -382,6 +382,35 @@ def fixed_length_encoding(spark, sf):
     return _spaced(encoded, "input_ids", "attention_mask")
 
 
+#: Rounds and pairs a round of the subword queries.
+SUBWORD_ROUNDS, SUBWORD_PAIRS = 6, 48
+
+
+def _subwords(spark, sf):
+    documents = A.table(spark, sf, "documents").select("text")
+    return subwords.learn_subwords(documents, rounds=SUBWORD_ROUNDS, per_round=SUBWORD_PAIRS)
+
+
+@query
+def subword_vocabulary(spark, sf):
+    return _subwords(spark, sf).vocabulary(spark)
+
+
+@query
+def subword_encoding(spark, sf):
+    documents = A.table(spark, sf, "documents").select("doc_id", "text")
+    return _spaced(subwords.encode_subwords(documents, _subwords(spark, sf)), "input_ids", "attention_mask")
+
+
+@query
+def subword_pair_encoding(spark, sf):
+    """Content and human stance of annotated documents, in the short length."""
+    annotated = A.annotated(spark, sf).select("doc_id", "content", "validation")
+    model = _subwords(spark, sf)
+    encoded = subwords.encode_subwords(annotated, model, length=C.ENCODED_LENGTH_SHORT, col="content", pair="validation")
+    return _spaced(encoded, "input_ids", "attention_mask")
+
+
 @query
 def model_agreement(spark, sf):
     report = training.model_agreement(A.logits(spark, sf))
