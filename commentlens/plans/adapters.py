@@ -111,23 +111,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Stand-in models: plain counting, so that any engine can repeat them.
-
-MARKERS = ("la", "no", "er")
-
-
-def counting_scorer():
-    """Scores a label by how often its marker occurs in the text."""
-
-    def score(texts: list[str], hypotheses: list[str]) -> list[list[float]]:
-        rows = []
-        for text in texts:
-            hits = [1 + text.count(marker) for marker in MARKERS]
-            rows.append([h / sum(hits) for h in hits])
-        return rows
-
-    return score
-
+# A stand-in model: plain counting, so that any engine can repeat it.
 
 def counting_detector():
     """Calls a prompt ironic if it has more a's than e's; fails on every thirteenth length."""

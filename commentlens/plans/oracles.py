@@ -203,6 +203,34 @@ vocabulary AS (
 """
 
 
+NAIVE_BAYES = f"""
+tw AS (SELECT validation AS label, unnest({TOKENS.replace('text', 'content')}) AS term FROM annotated),
+top AS (SELECT term FROM tw GROUP BY term ORDER BY count(*) DESC, term LIMIT 5000),
+counts AS (
+  SELECT term, count(*) FILTER (label = '{B}') AS b, count(*) FILTER (label = '{CR}') AS c, count(*) FILTER (label = '{N}') AS n
+  FROM tw JOIN top USING (term) GROUP BY term),
+totals AS (SELECT sum(b) AS tb, sum(c) AS tc, sum(n) AS tn, count(*) AS v FROM counts),
+priors AS (
+  SELECT count(*) AS rows, count(*) FILTER (validation = '{B}') AS pb, count(*) FILTER (validation = '{CR}') AS pc,
+    count(*) FILTER (validation = '{N}') AS pn FROM annotated)
+"""
+NAIVE_BAYES_STANCE = f"""
+WITH {SCORED}, {ANNOTATED}, {NAIVE_BAYES},
+sw AS (SELECT ord, unnest({TOKENS.replace('text', 'content')}) AS term FROM scored),
+sums AS (
+  SELECT ord, sum(ln((b + 1) / (tb + v))) AS b, sum(ln((c + 1) / (tc + v))) AS c, sum(ln((n + 1) / (tn + v))) AS n
+  FROM sw JOIN counts USING (term), totals GROUP BY ord),
+logs AS (
+  SELECT post_id, scored.ord, content, coalesce(b, 0) + ln((pb + 1) / (rows + 3)) AS b, coalesce(c, 0) + ln((pc + 1) / (rows + 3)) AS c,
+    coalesce(n, 0) + ln((pn + 1) / (rows + 3)) AS n
+  FROM scored LEFT JOIN sums ON scored.ord = sums.ord, priors),
+powers AS (
+  SELECT *, exp(b - greatest(b, c, n)) AS eb, exp(c - greatest(b, c, n)) AS ec, exp(n - greatest(b, c, n)) AS en FROM logs)
+SELECT post_id, ord,
+  CASE WHEN trim(content) = '' THEN '{N}' WHEN b >= c AND b >= n THEN '{B}' WHEN c >= n THEN '{CR}' ELSE '{N}' END AS stance,
+  CASE WHEN trim(content) = '' THEN 0.0 ELSE round(greatest(eb, ec, en) / (eb + ec + en), 6) END AS confidence
+FROM powers"""
+
 SUBWORD_ROUNDS, SUBWORD_PAIRS = 6, 48
 _NEIGHBOURS = "unnest(list_transform(range(1, len(s)), lambda i: {{'a': s[i], 'b': s[i + 1]}}))".replace("{{", "{").replace("}}", "}")
 _JOINED = (
@@ -288,7 +316,6 @@ _CE = "-CASE doc_id % 3 " + " ".join(
 ) + " END"
 
 _SCORES = [f"CAST(doc_id * {m} % 5 AS DOUBLE) / 4.0" for m in (7, 3, 1)]
-_HITS = [f"(1 + (length(content) - length(replace(content, '{w}', ''))) // {len(w)})" for w in ("la", "no", "er")]
 
 
 ORACLES: dict[str, str] = {
@@ -334,13 +361,13 @@ counted AS (SELECT post_id, stance, count(*) AS n FROM numbered WHERE place >= 1
 SELECT post_id, stance, n,
        round_even(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY post_id), 2) AS percentage
 FROM counted ORDER BY post_id, n DESC, stance""",
-    "stance_scored": f"""
-WITH {SCORED}, hits AS (
-  SELECT post_id, ord, {_HITS[0]} AS b, {_HITS[1]} AS c, {_HITS[2]} AS n FROM scored)
-SELECT post_id, ord,
-       CASE WHEN b >= c AND b >= n THEN '{B}' WHEN c >= n THEN '{CR}' ELSE '{N}' END AS stance,
-       greatest(b, c, n) / CAST(b + c + n AS DOUBLE) AS confidence
-FROM hits""",
+    "stance_term_weights": f"""
+WITH {ANNOTATED}, {NAIVE_BAYES}
+SELECT term, round(ln((b + 1) / (tb + v)), 6) AS believes, round(ln((c + 1) / (tc + v)), 6) AS criticizes, round(ln((n + 1) / (tn + v)), 6) AS neutral
+FROM counts, totals
+UNION ALL SELECT '', round(ln((pb + 1) / (rows + 3)), 6), round(ln((pc + 1) / (rows + 3)), 6), round(ln((pn + 1) / (rows + 3)), 6) FROM priors""",
+    "stance_scored": NAIVE_BAYES_STANCE,
+    "stance_by_terms": NAIVE_BAYES_STANCE,
     "top_stance": f"""
 WITH points AS (SELECT doc_id AS ord, {_SCORES[0]} AS b, {_SCORES[1]} AS c, {_SCORES[2]} AS n FROM documents)
 SELECT ord,
@@ -489,6 +516,15 @@ WITH {ANNOTATED}, drawn AS (
   SELECT validation, CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) AS draw FROM annotated)
 SELECT CASE WHEN draw < round(0.8 * 4294967296) THEN 'train' ELSE 'test' END AS split, validation, count(*) AS n
 FROM drawn GROUP BY 1, 2""",
+    "exact_splits": f"""
+WITH {ANNOTATED}, placed AS (
+  SELECT doc_id, validation, count(*) OVER () AS n, count(*) OVER (PARTITION BY validation) AS m,
+    row_number() OVER (ORDER BY CAST('0x' || substr(md5('42:' || doc_id), 1, 15) AS BIGINT)) AS r,
+    row_number() OVER (PARTITION BY validation ORDER BY CAST('0x' || substr(md5('7:' || doc_id), 1, 15) AS BIGINT)) AS s
+  FROM annotated)
+SELECT doc_id, validation, CASE WHEN r <= floor(round(0.8 * n, 6) + 0.5) THEN 'train' ELSE 'test' END AS overall,
+  CASE WHEN s <= floor(round(0.9 * m, 6) + 0.5) THEN 'train' ELSE 'test' END AS within_label
+FROM placed""",
     "vocabulary": f"WITH {VOCABULARY} SELECT token, n, CAST(token_id AS INTEGER) AS token_id FROM vocabulary",
     "text_term_weights": f"""
 WITH {ANNOTATED},

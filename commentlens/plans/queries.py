@@ -12,7 +12,7 @@ from commentlens.functions.cues import has_negation, is_blank
 from commentlens.functions.cues import text_cues as cues
 from commentlens.functions.labels import first_label, top_label
 from commentlens.functions.times import parse_comment_time
-from commentlens.operators import dynamics, evaluation, impact, rows, stance, subwords, textmodel, training, triage
+from commentlens.operators import dynamics, evaluation, impact, naivebayes, rows, splits, stance, subwords, textmodel, training, triage
 from commentlens.plans import adapters as A
 from commentlens.sources.ordinals import with_ord
 
@@ -110,10 +110,32 @@ def stance_distribution(spark, sf):
     return stance.stance_distribution(rows.drop_post_row(numbered))
 
 
+def _stance_weights(spark, sf):
+    labelled = A.annotated(spark, sf).select(F.col("content").alias("text"), F.col("validation").alias("label"))
+    return naivebayes.term_log_odds(labelled)
+
+
+@query
+def stance_term_weights(spark, sf):
+    """What naive Bayes learns from the human labels."""
+    named = [F.round(F.col("weights")[k], 6).alias(n) for k, n in enumerate(("believes", "criticizes", "neutral"))]
+    return _stance_weights(spark, sf).select("term", *named)
+
+
 @query
 def stance_scored(spark, sf):
+    """Comments scored by the learned weights, as any batch model scores them."""
     texts = A.scored(spark, sf).select("post_id", "ord", "content")
-    return stance.score_stance(texts, A.counting_scorer).drop("content")
+    scorer = naivebayes.as_batch_scorer(_stance_weights(spark, sf))
+    return rounded(stance.score_stance(texts, scorer).drop("content"), "confidence")
+
+
+@query
+def stance_by_terms(spark, sf):
+    """The same scores, summed from joined weights."""
+    texts = A.scored(spark, sf).select("post_id", "ord", "content")
+    scored = naivebayes.score_by_terms(texts, _stance_weights(spark, sf), ["ord"])
+    return rounded(stance.label_stance(scored).drop("content"), "confidence")
 
 
 @query
@@ -370,6 +392,15 @@ def split_counts(spark, sf):
     return split.groupBy("split", "validation").agg(F.count("*").alias("n"))
 
 
+@query
+def exact_splits(spark, sf):
+    """80/20 of all annotated documents, and 90/10 of those of each label."""
+    documents = A.annotated(spark, sf).select("doc_id", "validation")
+    overall = splits.exact_split(documents.select("doc_id"), ["doc_id"], {"train": 0.8, "test": 0.2}).withColumnRenamed("split", "overall")
+    within = splits.exact_split(documents, ["doc_id"], {"train": 0.9, "test": 0.1}, seed=7, by="validation")
+    return within.withColumnRenamed("split", "within_label").join(overall, "doc_id")
+
+
 @query
 def vocabulary(spark, sf):
     return training.build_vocabulary(A.table(spark, sf, "documents"))
