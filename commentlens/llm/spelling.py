@@ -25,8 +25,8 @@ from commentlens.llm.common import settle, union_all
 from commentlens.llm.words import Words, lower_case, slices
 
 GROUPS = 16
-STEP = 4
-SUBTRIE = 32_768
+STEP = 2
+SUBTRIE = 65_536
 VISITORS = 65_536
 #: A range of the trie with so many words or fewer is a leaf.
 LEAF = 32
@@ -36,7 +36,7 @@ PAIRS = 1 << 18
 WIDE = 24
 #: Letters at either end of a word; one edit in a word of twice as many changes those at one end only.
 EDGE = 3
-_WORD, _NEAR = "word string, n bigint, vec array<int>", "word string, n_near bigint, best struct<lost:bigint,word:string>"
+_WORD, _NEAR = "word string, n bigint, vec bigint", "word string, n_near bigint, best struct<lost:bigint,word:string>"
 
 
 def _in_run(data: np.ndarray) -> np.ndarray:
@@ -118,11 +118,25 @@ def count_vectors(words: list[str]) -> np.ndarray:
     return cells.reshape(len(words), GROUPS).astype(np.int32)
 
 
+#: A vector as one number has four bits a group, the highest of them free to hold what a subtraction borrows.
+_BITS, _MOST = 4, 7
+_FREE, _ONES = np.uint64(0x8888888888888888), np.uint64(0x1111111111111111)
+_SHIFTS = np.arange(GROUPS, dtype=np.uint64) * np.uint64(_BITS)
+
+
+def _packed(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as numbers. Counts above 7 count as 7, which only brings vectors nearer to each other."""
+    return (np.minimum(vectors, _MOST).astype(np.uint64) << _SHIFTS).sum(axis=1, dtype=np.uint64)
+
+
+def _unpacked(numbers: np.ndarray) -> np.ndarray:
+    return ((numbers[:, None] >> _SHIFTS) & np.uint64(_MOST)).astype(np.int8)
+
+
 def _with_vectors(batches):
     for batch in batches:
-        vectors = count_vectors(batch.column("word").to_pylist())
-        rows = pa.ListArray.from_arrays(np.arange(0, vectors.size + 1, GROUPS, dtype=np.int32), vectors.ravel())
-        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), rows], ["word", "n", "vec"])
+        packed = _packed(count_vectors(batch.column("word").to_pylist())).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(packed)], ["word", "n", "vec"])
 
 
 def reached(members: np.ndarray, visitors: np.ndarray):
@@ -147,16 +161,6 @@ def reached(members: np.ndarray, visitors: np.ndarray):
                 stack.append((depth + 1, low + a, low + b, here[fits], over[fits], under[fits]))
 
 
-#: Four bits a group, the highest of them free to hold what a subtraction borrows.
-_FREE, _ONES = np.uint64(0x8888888888888888), np.uint64(0x1111111111111111)
-
-
-def _packed(vectors: np.ndarray) -> np.ndarray:
-    """A vector as one number. Counts above 7 count as 7, which only brings vectors nearer to each other."""
-    shifts = np.arange(GROUPS, dtype=np.uint64) * np.uint64(4)
-    return (np.minimum(vectors, 7).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
-
-
 def _within_budget(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which packed vectors differ by one more in one group at most, and one less in one group at most."""
     x = ((a | _FREE) - b) ^ _FREE  # in each group 0 where equal, 1 for one more, 15 for one less
@@ -208,16 +212,13 @@ class _Letters:
 def _search(key, members: pa.Table, visitors: pa.Table) -> pa.Table:
     """What every visitor finds in one part of the trie: how many near words, and of those the one of largest n, then smallest."""
 
-    def vectors(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy().reshape(len(column), GROUPS)
-
     if not len(members) or not len(visitors):
         return _SCHEMA.empty_table()
-    theirs, mine = vectors(members["vec"]), vectors(visitors["sought"])
+    packed, their_packed = visitors["sought"].to_numpy().view(np.uint64), members["vec"].to_numpy().view(np.uint64)
+    theirs, mine = _unpacked(their_packed), _unpacked(packed)
     order = np.lexsort(theirs.T[::-1])
-    theirs, members = theirs[order], members.take(order)
+    theirs, their_packed, members = theirs[order], their_packed[order], members.take(order)
     words, n, seekers = _Letters(members["word"].to_pylist()), members["n"].to_numpy(), _Letters(visitors["seeker"].to_pylist())
-    packed, their_packed = _packed(mine), _packed(theirs)
     found_by, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for here, low, high in reached(theirs, mine):
         step = max(1, PAIRS // (high - low))
@@ -242,19 +243,24 @@ def _search(key, members: pa.Table, visitors: pa.Table) -> pa.Table:
 _SCHEMA = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("best", pa.struct([("lost", pa.int64()), ("word", pa.string())]))])
 
 
-def _moves() -> Column:
-    """Ways to spend of the budget on ``STEP`` levels: what a visitor has more than the node, at each level, and in all."""
-    units = [[0] * STEP] + [[s * (i == k) for i in range(STEP)] for s in (1, -1) for k in range(STEP)]
-    both = [[(i == k) - (i == j) for i in range(STEP)] for k in range(STEP) for j in range(STEP) if k != j]
-    return F.array(*[F.struct(F.array(*map(F.lit, m)).alias("more"), F.lit(max(0, *m)).alias("over"), F.lit(-min(0, *m)).alias("under")) for m in units + both])
+def _moves(depth: int) -> Column:
+    """Ways to spend of the budget on the ``STEP`` levels above ``depth``: what to take from a vector, the level of its surplus, and the cost."""
+    levels = range(depth - STEP, depth)
+    ways = [(over, under) for over in (None, *levels) for under in (None, *levels) if over is None or over != under]
 
+    def way(over: int | None, under: int | None) -> Column:
+        take = sum(sign << (_BITS * k) for sign, k in ((1, over), (-1, under)) if k is not None)
+        return F.struct(
+            F.lit(take).cast("bigint").alias("take"), F.lit(_BITS * (over or 0)).alias("at"),
+            F.lit(int(over is not None)).alias("over"), F.lit(int(under is not None)).alias("under"),
+        )
 
-def _levels(vec: Column, depth: int) -> Column:
-    return F.slice(vec, depth - STEP + 1, STEP)
+    return F.array(*[way(*w) for w in ways])
 
 
-def _below(node: Column, counts: Column) -> Column:
-    return F.concat(node, F.array_join(counts.cast("array<string>"), ","), F.lit(";"))
+def _node(vec: Column, depth: int) -> Column:
+    """The node that holds a vector: its counts down to ``depth``."""
+    return vec.bitwiseAND(F.lit((1 << (_BITS * depth)) - 1).cast("bigint"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -262,31 +268,34 @@ def near_words(words: DataFrame) -> DataFrame:
 
     best.word is the near word of largest n = -best.lost, of equal ones the smallest in code-point order.
     """
-    rooted = settle(words.select("word", F.col("n").cast("bigint").alias("n")).mapInArrow(_with_vectors, _WORD)).withColumn("node", F.lit(""))
-    members, visitors = [], []
-    down, frontier = rooted, rooted.withColumns({"over": F.lit(0), "under": F.lit(0)})
+    rooted = settle(words.select("word", F.col("n").cast("bigint").alias("n")).mapInArrow(_with_vectors, _WORD))
+    members, visits = [], []
+    down = rooted.withColumn("node", F.lit(0).cast("bigint"))
+    # Vectors travel, not words: many words share one. spent is what has been taken from the vector so far.
+    frontier = rooted.select("vec").distinct().withColumns({"spent": F.lit(0).cast("bigint"), "over": F.lit(0), "under": F.lit(0)})
     for depth in range(STEP, GROUPS + 1, STEP):
-        down = down.withColumn("node", _below(F.col("node"), _levels(F.col("vec"), depth)))
+        down = down.withColumn("node", _node(F.col("vec"), depth))
         nodes = down.groupBy("node").agg(F.count("*").alias("size"))
         tiles = F.ceil(F.col("size") / SUBTRIE) if depth == GROUPS else F.when(F.col("size") <= SUBTRIE, 1)
         nodes = settle(nodes.select("node", tiles.cast("int").alias("tiles")))  # no tiles: to be divided further down
         tile = F.pmod(F.xxhash64("word"), F.col("tiles")).cast("int")
         down = down.join(nodes, "node")
         members.append(down.where("tiles IS NOT NULL").select("word", "n", "vec", "node", tile.alias("tile")))
-        spread = frontier.select("word", "vec", "node", "over", "under", F.explode(_moves()).alias("move"))
-        spread = spread.withColumns({"over": F.col("over") + F.col("move.over"), "under": F.col("under") + F.col("move.under")}).where("over <= 1 AND under <= 1")
-        child = F.zip_with(_levels(F.col("vec"), depth), "move.more", lambda have, more: have - more)
-        frontier = spread.withColumn("node", _below(F.col("node"), child)).drop("move").join(nodes, "node")
+        spread = frontier.withColumn("move", F.explode(_moves(depth))).where(
+            "over + move.over <= 1 AND under + move.under <= 1 AND (move.over = 0 OR (shiftright(vec, move.at) & 15) > 0)"
+        )
+        spread = spread.selectExpr("vec", "spent + move.take AS spent", "over + move.over AS over", "under + move.under AS under")
+        frontier = settle(spread.withColumn("node", _node(F.col("vec") - F.col("spent"), depth)).join(nodes, "node"))
         ended = frontier.where("tiles IS NOT NULL")
-        visitors.append(ended.select("word", "vec", "node", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")))
+        visits.append(ended.select("vec", "node", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")))
         if nodes.where("tiles IS NULL").isEmpty():
             break
-        down, frontier = down.where("tiles IS NULL").drop("tiles"), settle(frontier.where("tiles IS NULL").drop("tiles"))
-    have, seek = union_all(members), union_all(visitors)
+        down, frontier = down.where("tiles IS NULL").drop("tiles"), frontier.where("tiles IS NULL").drop("tiles", "node")
+    have, seek = union_all(members), union_all(visits)
     # A part holds several small nodes; a visitor of any of them searches it once.
     parts = max(1, math.ceil(rooted.count() / SUBTRIE))
     part = F.pmod(F.xxhash64("node", "tile"), F.lit(parts)).cast("int").alias("part")
-    seek = settle(seek.select("word", "vec", part).distinct())
+    seek = seek.select("vec", part).distinct().join(rooted.select("word", "vec"), "vec")
     load = seek.groupBy("part").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("portions"))
     have = have.select("word", "n", "vec", part).join(load, "part").withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
     # Both sides come from the same words: new names tell their columns apart.

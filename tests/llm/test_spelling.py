@@ -109,7 +109,7 @@ def test_counts_of_odd_texts(spark):
 
 def test_trie_reaches_all_within_budget():
     r = np.random.default_rng(3)
-    members, visitors = r.integers(0, 3, (300, spelling.GROUPS)).astype(np.int32), r.integers(0, 3, (40, spelling.GROUPS)).astype(np.int32)
+    members, visitors = (r.integers(0, 3, (n, spelling.GROUPS)).astype(np.int8) for n in (300, 40))
     members[:40] = visitors
     members[:40, 2] += 1
     members = members[np.lexsort(members.T[::-1])]
@@ -117,4 +117,5 @@ def test_trie_reaches_all_within_budget():
     more = visitors[:, None] - members[None]
     fits = (np.maximum(more, 0).sum(2) <= 1) & (np.maximum(-more, 0).sum(2) <= 1)
     assert fits.sum() >= 40 and {(int(a), int(b)) for a, b in np.argwhere(fits)} <= found
+    assert (spelling._unpacked(spelling._packed(members)) == members).all()
     assert (spelling._within_budget(spelling._packed(visitors)[:, None], spelling._packed(members)[None]) >= fits).all()
