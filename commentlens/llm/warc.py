@@ -24,6 +24,8 @@ END = LINE * 2
 SEPARATOR = "WARC/1."
 #: Captures in one file, at most; files that must be read whole stay readable.
 CAPTURES_PER_FILE = 20_000
+#: Records of one Arrow batch.
+ROWS = 256
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Digits of numbers in base 32, and those of RFC 4648.
 _DIGITS, _RFC_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -161,11 +163,14 @@ _ARROW = pa.schema([
 ])
 
 
-def _batches(records, size: int = 256):
+_SPLIT = pa.schema([("file", pa.string()), ("torn", pa.bool_()), *_ARROW])
+
+
+def _batches(records):
     part = []
     for x in records:
         part.append(x)
-        if len(part) == size:
+        if len(part) == ROWS:
             yield pa.RecordBatch.from_pylist(part, _ARROW)
             part = []
     yield pa.RecordBatch.from_pylist(part, _ARROW)
@@ -185,29 +190,40 @@ def _pieces(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).where("length(piece) > 0")
 
 
-def torn_files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Files in which a payload holds the separator, so that splitting at it tears a record. A list of file names, as Spark's driver has."""
+def _from_splits(spark: SparkSession, path: str | list[str], payload: bool) -> DataFrame:
+    """Records of the pieces, with their file; a piece that isn't a whole record leaves its file alone."""
 
-    def torn(batches):
+    def split(batches):
         for batch in batches:
-            bad = [f for f, x in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist(), strict=True) if _from_piece(x) is None]
-            yield pa.RecordBatch.from_pydict({"file": sorted(set(bad))}, pa.schema([("file", pa.string())]))
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                found = (_from_piece(x.as_py()) for x in some.column("piece"))
+                rows = [{"file": f, "torn": x is None} | (_parsed(*x, payload) if x else {}) for f, x in zip(some.column("file").to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, _SPLIT)
+
+    return _pieces(spark, path).mapInArrow(split, f"file string, torn boolean, {RECORD}")
+
 
-    return sorted(r.file for r in _pieces(spark, path).mapInArrow(torn, "file string").distinct().collect())
+def _torn(found: DataFrame) -> list[str]:
+    return sorted(r.file for r in found.where("torn").select("file").distinct().collect())
+
+
+def torn_files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Files in which a payload holds the separator, so that splitting at it tears a record. A list of file names, as Spark's driver has."""
+    return _torn(_from_splits(spark, path, False))
 
 
 def read_records(spark: SparkSession, path: str | list[str], payload: bool = True) -> DataFrame:
     """Every record of WARC files, plain or compressed: ids, links, digest and size of the payload, headers and named fields of the block.
 
-    ``payload`` False leaves the payloads themselves out; digests and sizes are computed from them all the same. ``intact`` is false where a
-    payload is not what its digest says; a revisit has what its headers say of it. A file with a record that isn't all there is an error.
+    ``payload`` False leaves the payloads themselves out and keeps the rest in the shared folder, so that files are read once; digests and
+    sizes are computed from the payloads all the same. ``intact`` is false where a payload is not what its digest says; a revisit has what its
+    headers say of it. A file with a record that isn't all there is an error.
     """
-    torn = torn_files(spark, path)
-
-    def split(batches):
-        for batch in batches:
-            found = (_from_piece(x.as_py()) for x in batch.column("piece"))
-            yield from _batches(_parsed(*x, payload) for x in found if x is not None)
+    found = _from_splits(spark, path, payload)
+    if not payload:
+        found = settle(found)
+    torn = _torn(found) if not payload else torn_files(spark, path)
 
     def whole(batches):
         def records(data: bytes):
@@ -229,11 +245,10 @@ def read_records(spark: SparkSession, path: str | list[str], payload: bool = Tru
                     data = b"".join(_members(data))
                 yield from _batches(records(data))
 
-    pieces = _pieces(spark, path)
     if not torn:
-        return pieces.mapInArrow(split, RECORD)
+        return found.drop("file", "torn")
     listed = spark.createDataFrame([(f,) for f in torn], "file string")
-    rest = pieces.join(F.broadcast(listed), "file", "left_anti").mapInArrow(split, RECORD)
+    rest = found.join(F.broadcast(listed), "file", "left_anti").drop("file", "torn")
     return rest.unionByName(spark.read.format("binaryFile").load(torn).select("path", "content").mapInArrow(whole, RECORD))
 
 
