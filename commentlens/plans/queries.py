@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -462,12 +463,30 @@ def text_term_weights(spark, sf):
     return rounded(textmodel.term_weights(texts, ["doc_id"]), "weight")
 
 
+#: One fit serves all queries over the same tables of a session.
+_FITTED: dict[tuple[str, str], PipelineModel] = {}
+#: Largest derivative of the mean loss that counts as an optimum.
+GRADIENT_TOLERANCE = 3e-3
+
+
+def _fitted(spark, sf) -> PipelineModel:
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _FITTED:
+        _FITTED[at] = textmodel.text_model().fit(_labelled_texts(spark, sf).where("split = 'train'"))
+    return _FITTED[at]
+
+
+@query
+def text_model_certificate(spark, sf):
+    """Whether the fitted coefficients are an optimum for the rows they were fitted to."""
+    found = textmodel.certificate(_fitted(spark, sf), _labelled_texts(spark, sf).where("split = 'train'"))
+    return found.select("n_rows", "n_terms", (F.greatest("gradient", "intercept_gradient") < GRADIENT_TOLERANCE).alias("at_optimum"))
+
+
 @query
 def text_model_report(spark, sf):
     """TF-IDF and logistic regression, judged on the part they have not seen."""
-    texts = _labelled_texts(spark, sf)
-    model = textmodel.text_model().fit(texts.where("split = 'train'"))
-    predicted = model.transform(texts.where("split = 'test'"))
+    predicted = _fitted(spark, sf).transform(_labelled_texts(spark, sf).where("split = 'test'"))
     report = evaluation.class_report(evaluation.confusion(predicted, "predicted", "label"))
     return rounded(report, "precision", "recall", "f1")
 
@@ -475,8 +494,6 @@ def text_model_report(spark, sf):
 @query
 def text_model_stance(spark, sf):
     """The fitted model as scorer: stance and confidence of every document."""
-    texts = _labelled_texts(spark, sf)
-    model = textmodel.text_model().fit(texts.where("split = 'train'"))
     documents = A.table(spark, sf, "documents").select("doc_id", "text")
-    labelled = stance.label_stance(textmodel.as_scorer(model)(documents), content="text")
+    labelled = stance.label_stance(textmodel.as_scorer(_fitted(spark, sf))(documents), content="text")
     return rounded(labelled.drop("text"), "confidence")

@@ -1,5 +1,6 @@
 import sys
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -38,6 +39,33 @@ def test_weights_are_smoothed_and_unit_length(model, spark):
     assert row.features.norm(2) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("three", [False, True])
+def test_certificate_like_plain_gradient(texts, spark, three):
+    if three:
+        texts = texts.unionByName(spark.createDataFrame([("green tree leaves", "tree"), ("tall tree", "tree"), (None, "tree")], texts.schema))
+    fits = [textmodel.text_model(max_features=50, max_iter=n).fit(texts.where("text IS NOT NULL")) for n in (1000, 2)]
+    odd = texts.unionByName(spark.createDataFrame([("sunny", "unheard of"), ("sunny", None), (None, "good")], texts.schema))
+    rows = [textmodel.certificate(m, odd).first() for m in fits]
+    for m, row in zip(fits, rows):
+        seen, classifier = m.transform(texts.where("text IS NOT NULL")).collect(), m.stages[-2]
+        labels = m.stages[-1].getLabels()
+        x = np.array([r.features.toArray() for r in seen])
+        p, y = np.array([r.probability.toArray() for r in seen]), np.array([[r.label == k for k in labels] for r in seen], float)
+        w = classifier.coefficientMatrix.toArray() if three else classifier.coefficientMatrix.toArray()[[-1]]
+        g = ((p - y).T @ x / len(x))[-len(w) :] + w / len(x)
+        assert (row.n_rows, row.n_terms) == x.shape
+        assert row.gradient == pytest.approx(abs(g).max()) and row.gap == pytest.approx((g**2).sum() * len(x) / 2)
+        assert row.intercept_gradient == pytest.approx(abs((p - y).mean(0)[-len(w) :]).max(), abs=1e-12)
+        assert row.objective == pytest.approx(-np.log((p * y).sum(1)).mean() + (w**2).sum() / 2 / len(x))
+    assert rows[0].gradient < min(3e-3, rows[1].gradient) and rows[0].objective < rows[1].objective
+    assert rows[1].objective - rows[1].gap < rows[0].objective
+
+
+def test_certificate_without_rows(model, texts):
+    row = textmodel.certificate(model, texts.where("false")).first()
+    assert row.n_rows == 0 and row.gradient is None
+
+
 def test_model_as_scorer(model, spark):
     df = spark.createDataFrame([(0, "lovely sea"), (1, "cold storm"), (2, "")], "i int, text string")
     scored = textmodel.as_scorer(model)(df)
