@@ -122,7 +122,7 @@ def certificate(model: PipelineModel, df: DataFrame, text: str = "text", label:
     n_rows, n_terms, objective (mean loss and penalty), gradient, intercept_gradient (the largest absolute derivative by a coefficient and
     by an intercept), gap (the objective is above the least possible one by this at most, as far as coefficients go). Derivatives are sums of unit
     vectors, weighted by what was predicted and by what is true, gathered in one pass; nothing of the fit is taken for granted but the
-    coefficients. Rows without a text or with an unknown label are left out, as by the fit; without rows every figure is null or 0.
+    coefficients. Rows without a text or with an unknown label are left out, as by the fit; without rows there is no figure but their number.
     """
     classifier = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
     names = next(s for s in model.stages if isinstance(s, IndexToString)).getLabels()
@@ -133,15 +133,16 @@ def certificate(model: PipelineModel, df: DataFrame, text: str = "text", label:
     first = len(names) - len(weights)
     own = sum((F.when(F.col(label) == name, share[k]).otherwise(0.0) for k, name in enumerate(names)), F.lit(0.0))
     every = rows.select("features", own.alias("own"), *[share[k].alias(f"p{k}") for k in range(len(names))], *[(F.col(label) == n).cast("double").alias(f"y{k}") for k, n in enumerate(names)])
+    terms = weights.shape[1]
+    schema = "n_rows bigint, n_terms bigint, objective double, gradient double, intercept_gradient double, gap double"
+    if rows.isEmpty():  # a sum of no vectors has no size
+        return df.sparkSession.createDataFrame([(0, terms, None, None, None, None)], schema)
     found = every.agg(
         F.count("*").alias("n"), F.sum(-F.log("own")).alias("loss"),
         *[Summarizer.sum(F.col("features"), F.col(f"{c}{k}")).alias(f"{c}x{k}") for c in "py" for k in range(first, len(names))],
         *[F.sum(f"{c}{k}").alias(f"{c}{k}") for c in "py" for k in range(first, len(names))],
     ).first()
-    n, terms = found["n"], weights.shape[1]
-    schema = "n_rows bigint, n_terms bigint, objective double, gradient double, intercept_gradient double, gap double"
-    if not n:
-        return df.sparkSession.createDataFrame([(0, terms, None, None, None, None)], schema)
+    n = found["n"]
     penalty = classifier.getRegParam()
     slopes = [(found[f"px{k}"].toArray() - found[f"yx{k}"].toArray()) / n + penalty * weights[k - first] for k in range(first, len(names))]
     levels = [abs(found[f"p{k}"] - found[f"y{k}"]) / n for k in range(first, len(names))]

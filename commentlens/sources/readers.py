@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commentlens import schemas as S
+from commentlens.sources import split_csv
 
 FILE, START, SPLIT = "__file", "__start", "__split"
 
@@ -90,9 +91,12 @@ def _csv(spark: SparkSession, glob: str, header: tuple[str, ...], multi_line: bo
 
 
 def _read_comments(
-    spark: SparkSession, glob: str, header: tuple[str, ...], multi_line: bool
+    spark: SparkSession, glob: str, header: tuple[str, ...], multi_line: bool, in_splits: bool
 ) -> DataFrame:
     columns = {h: S.COLUMNS[h] for h in header if h in S.COLUMNS}
+    if multi_line and in_splits:
+        texts = split_csv.read_csv(spark, glob, header, _post_id()).select(F.col("name").alias("post_id"), "ord", "row.*")
+        return texts.select("post_id", "ord", *[_typed(h, kind).alias(name) for h, (name, kind) in columns.items()])
     file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     rows = _csv(spark, glob, header, multi_line).select(
         *columns, _post_id().alias("post_id"), file.alias(FILE), start.alias(START),
@@ -102,23 +106,24 @@ def _read_comments(
     return _with_ord(rows, splittable=not multi_line).select("post_id", "ord", *typed)
 
 
-def read_posts(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+def read_posts(spark: SparkSession, glob: str, multi_line: bool = True, in_splits: bool = False) -> DataFrame:
     """Posts with their comments. ``multi_line=False``, for files whose fields hold no line
-    breaks, lets several tasks read one large file."""
-    return _read_comments(spark, glob, S.POSTS, multi_line)
+    breaks, lets several tasks read one large file; ``in_splits`` does so for files with such fields, in which quotes
+    stand around fields only."""
+    return _read_comments(spark, glob, S.POSTS, multi_line, in_splits)
 
 
-def read_classified(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
-    return _read_comments(spark, glob, S.CLASSIFIED, multi_line)
+def read_classified(spark: SparkSession, glob: str, multi_line: bool = True, in_splits: bool = False) -> DataFrame:
+    return _read_comments(spark, glob, S.CLASSIFIED, multi_line, in_splits)
 
 
-def read_report(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+def read_report(spark: SparkSession, glob: str, multi_line: bool = True, in_splits: bool = False) -> DataFrame:
     """Uncertainty reports and suspect reports, which share one layout."""
-    return _read_comments(spark, glob, S.REPORT, multi_line)
+    return _read_comments(spark, glob, S.REPORT, multi_line, in_splits)
 
 
-def read_annotations(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
-    return _read_comments(spark, glob, S.ANNOTATION, multi_line)
+def read_annotations(spark: SparkSession, glob: str, multi_line: bool = True, in_splits: bool = False) -> DataFrame:
+    return _read_comments(spark, glob, S.ANNOTATION, multi_line, in_splits)
 
 
 def read_gold(spark: SparkSession, path: str, fmt: str = "csv", header: tuple[str, ...] = S.GOLD) -> DataFrame:
