@@ -38,8 +38,10 @@ def exact_split(df: DataFrame, key: Sequence[str], fractions: Mapping[str, float
     if len(fractions) < 2 or abs(sum(fractions.values()) - 1.0) > 1e-9 or min(fractions.values()) < 0:
         raise ValueError("fractions must be two or more, and add up to 1")
     digest = F.md5(F.concat_ws(":", F.lit(seed), *key))
-    group = F.lit("") if by is None else F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
-    drawn = df.withColumns({"__group": group, "__draw": F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("bigint")})
+    draw = F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+    # All rows are one class without a column; as a literal it would be no key to join by.
+    group = F.when(draw < 0, "=").otherwise("") if by is None else F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
+    drawn = df.withColumns({"__group": group, "__draw": draw})
     rows = drawn.select("__group", "__draw")
 
     parts = _shares(F.col("n"), list(fractions.values()))
@@ -67,4 +69,8 @@ def exact_split(df: DataFrame, key: Sequence[str], fractions: Mapping[str, float
     split = F.lit(names[-1])
     for k in reversed(range(len(upto))):
         split = F.when(F.col("__draw") <= F.col(f"__upto{k}"), names[k]).otherwise(split)
-    return drawn.join(limits, "__group", "left").select(*df.columns, split.alias("split"))
+    if by is None:
+        bounded = drawn.withColumns({f"__upto{k}": limits.select(f"__upto{k}").scalar() for k in range(len(upto))})
+    else:
+        bounded = drawn.join(limits, "__group", "left")
+    return bounded.select(*df.columns, split.alias("split"))

@@ -465,8 +465,8 @@ def text_term_weights(spark, sf):
 
 #: One fit serves all queries over the same tables of a session.
 _FITTED: dict[tuple[str, str], PipelineModel] = {}
-#: Largest derivative of the mean loss that counts as an optimum.
-GRADIENT_TOLERANCE = 3e-3
+#: Largest derivatives of the mean loss, by a coefficient and by an intercept, that count as an optimum.
+GRADIENT_TOLERANCE, INTERCEPT_TOLERANCE = 5e-3, 2e-2
 
 
 def _fitted(spark, sf) -> PipelineModel:
@@ -480,7 +480,7 @@ def _fitted(spark, sf) -> PipelineModel:
 def text_model_certificate(spark, sf):
     """Whether the fitted coefficients are an optimum for the rows they were fitted to."""
     found = textmodel.certificate(_fitted(spark, sf), _labelled_texts(spark, sf).where("split = 'train'"))
-    return found.select("n_rows", "n_terms", (F.greatest("gradient", "intercept_gradient") < GRADIENT_TOLERANCE).alias("at_optimum"))
+    return found.select("n_rows", "n_terms", ((F.col("gradient") < GRADIENT_TOLERANCE) & (F.col("intercept_gradient") < INTERCEPT_TOLERANCE)).alias("at_optimum"))
 
 
 @query
