@@ -50,13 +50,24 @@ def all_keys(url: Column, path_parts: int) -> Column:
     return F.concat(F.reverse(deep), F.filter(wide, lambda _, k: (k == 0) | (F.size(labels) - k >= 2)))
 
 
+def entry_key(key: Column) -> Column:
+    """A list entry's key in the form of captures' keys: a host in lower case without a final dot, then path parts.
+
+    A scheme, user, port, query and fragment, white space around it and empty path parts are left out; null without a host. Paths keep their case.
+    """
+    bare = F.regexp_replace(F.trim(key), "^([A-Za-z][A-Za-z0-9+.-]*:)?//", "")
+    host, _, path = _host_and_path(F.concat(F.lit("http://"), bare))
+    return F.when(host.isNotNull(), F.array_join(F.concat(F.array(host), path), "/"))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """(key, start, end, reason): half-open intervals in seconds in which a key is listed, from entries (key, at, listed, reason).
 
+    Keys in any spelling become ``entry_key``s; spellings of one key are one list.
     An entry holds until the next one of its key (end null: still). Of entries of a key at one time, one that lists wins,
     then the smallest reason. Entries without key, time or listed are left out.
     """
-    usable = entries.where("key IS NOT NULL AND at IS NOT NULL AND listed IS NOT NULL")
+    usable = entries.withColumn("key", entry_key(F.col("key"))).where("key IS NOT NULL AND at IS NOT NULL AND listed IS NOT NULL")
     one = usable.groupBy("key", "at").agg(F.min(F.struct((~F.col("listed")).alias("off"), "reason")).alias("x"))
     ordered = one.withColumn("end", F.lead("at").over(Window.partitionBy("key").orderBy("at")))
     return ordered.where(~F.col("x.off")).select("key", F.col("at").alias("start"), "end", F.col("x.reason").alias("reason"))
@@ -82,7 +93,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, period: int = PERIO
     names = out.columns
     horizon = out.agg(F.max("fetched")).first()[0]  # intervals without an end are cut off there
     spans = _by_period(validity(entries), F.coalesce(F.lit(horizon).cast("long"), F.col("start")), period)
-    deepest = entries.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0]  # longer keys of a capture meet no entry
+    deepest = entries.agg(F.max(F.size(F.split(entry_key(F.col("key")), "/")) - 1)).first()[0]  # longer keys of a capture meet no entry
     known = out.where("url IS NOT NULL AND fetched IS NOT NULL").select(F.col("url").alias("__url"), F.col("fetched").alias("__fetched")).distinct()
     keys = F.posexplode(all_keys(F.col("__url"), max(0, deepest or 0))).alias("rank", "key")
     keyed = known.select("__url", "__fetched", F.floor(F.col("__fetched") / period).alias("period"), keys)

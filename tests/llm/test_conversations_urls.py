@@ -144,3 +144,14 @@ def test_captures_of_deep_hosts_and_paths(spark):
     captures = spark.createDataFrame([(u, 100) for u in want] * 2, "url string, fetched long")
     got = url_filter.filter_captures(captures, spark.createDataFrame(entries, "key string, at long, listed boolean, reason string")).collect()
     assert len(got) == 2 * len(want) and all(r.matched_key == want[r.url] and r.blocked == (want[r.url] is not None) for r in got)
+
+
+def test_entries_in_any_spelling_block(spark):
+    spellings = ["Example.com", "example.org.", "host.net/a/", "HTTPS://user@Port.io:8080/P//q/?x#y", "//bare.dev/", " space.me "]
+    entries = [(k, 10, True, "spam") for k in spellings] + [("EXAMPLE.com.", 50, False, "spam"), ("http://", 10, True, "spam"), ("/path", 10, True, "spam")]
+    urls = ["http://www.example.com/x", "http://example.org/", "http://host.net/a/b", "http://port.io/P/q/r", "http://port.io/p/q", "http://bare.dev", "http://SPACE.me./z", "http://path/"]
+    captures = spark.createDataFrame([(u, t) for u in urls for t in (9, 20, 60)], "url string, fetched long")
+    rows = spark.createDataFrame(entries, "key string, at long, listed boolean, reason string")
+    got = {(r.url, r.fetched): r.matched_key for r in url_filter.filter_captures(captures, rows).collect()}
+    keys = ["example.com", "example.org", "host.net/a", "port.io/P/q", None, "bare.dev", "space.me", None]
+    assert got == {(u, t): None if t == 9 or (k == "example.com" and t == 60) else k for u, k in zip(urls, keys, strict=True) for t in (9, 20, 60)}
