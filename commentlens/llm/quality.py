@@ -181,9 +181,9 @@ def learn_from_labels(statistics: DataFrame, labels: DataFrame) -> list[Rule]:
 
 
 def judged(statistics: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds base_failed, rule (that covers the row) and kept."""
+    """Adds base_failed, kept and rule (that covers the row)."""
     out = statistics.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return out.select(*statistics.columns, "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
