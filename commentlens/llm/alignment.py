@@ -29,10 +29,8 @@ from commentlens.llm.words import slices
 
 #: Steps of the merge in one piece.
 PIECE = 1 << 16
-#: Bytes of text in a slice.
-SLICE = 8 << 20
 #: Runs whose tokens a worker remembers, and those given to a tokenizer at once.
-REMEMBERED, AT_ONCE = 400_000, 4096
+REMEMBERED, AT_ONCE = 250_000, 4096
 #: How sentencepiece writes a space, also one that is in the text itself.
 _SPACE = "▁"
 #: A space that stands alone begins a run.
@@ -321,7 +319,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
         part, n = TaskContext.get().partitionId(), 0
         aligner = _aligner(path_a, path_b)
         for batch in batches:
-            for rows, _, _ in slices(batch, size=SLICE):
+            for rows, _, _ in slices(batch):
                 found = aligner.slice(rows.column("text").to_pylist())
                 row = {"slice": part << 32 | n, "doc_id": rows.column("doc_id").to_pylist()} | found
                 yield pa.RecordBatch.from_pylist([{k: x.tolist() if isinstance(x, np.ndarray) else x for k, x in row.items()}], _SLICE)
