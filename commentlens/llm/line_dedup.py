@@ -1,15 +1,17 @@
 """Line deduplication with a log-template tree.
 
 A line is parsed along a tree of fixed depth: first by its number of words, then by its leading words, where words with a
-digit count as variable. What follows the leading words is variable, too, so a leaf is a template such as
-"7 words: Page <*> of <*> printed on ...". A template that occurs in several documents is boilerplate: its lines are dropped
-from all of them but the first, which keeps them.
+digit count as variable; so a leaf is what opens like "7 words: Page <*> of <*> printed on". Lines of one leaf need not be
+alike. A leaf is split by what follows: a template is a quarter of the words after the leading ones (or all of them), led by
+the line that most documents have, and holds the lines that agree with that line in most words, position by position. A
+template that occurs in several documents is boilerplate: its lines are dropped from all of them but the first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,83 +19,149 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commentlens.llm.words import Words, mix, one_sequence, signed, slices, u64
+from commentlens.llm.common import settle
+from commentlens.llm.words import Words, mix, signed, slices, u64
 
 #: Leading words that are looked at.
 DEPTH = 6
 #: Documents that make a template recurring.
 MIN_DOCS = 5
+#: Percentage of the words without digits that a line shares with its template's leading line.
+ALIKE = 75
+#: Parts of the words after the leading ones; lines are compared if one part is the same.
+PARTS = 4
 
 _VARIABLE = u64(0x5BF0A8B1457695F1)
+#: Bytes of a word in a line's shape.
+_PRINT = 2
 
 
-def line_templates(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each line with a word: its text's number, how many newlines precede it in all texts, its template."""
+class Lines(NamedTuple):
+    """Lines with a word: number of the text, newlines before it in all texts, leaf of the tree, name of the whole line (but
+    for variable words), and the shape, 16 bits a word, 0 for a variable one."""
+
+    text: np.ndarray
+    newlines: np.ndarray
+    leaf: np.ndarray
+    line: np.ndarray
+    shape: pa.Array
+
+
+def parsed_lines(w: Words, depth: int) -> Lines:
+    """Every line of some texts. If the leading words are all variable, no word counts as such."""
     text = np.repeat(np.arange(len(w.counts)), w.counts)
     newlines = np.cumsum(w.data == 10)[w.starts] if len(w.starts) else np.empty(0, np.int64)
-    line = newlines + text
-    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else np.empty(0, np.int64)
-    count = np.diff(np.r_[begin, len(line)])
+    row = newlines + text
+    begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+    count = np.diff(np.r_[begin, len(row)])
     digits = np.r_[0, np.cumsum((w.data >= 48) & (w.data <= 57))]
     variable = digits[w.ends] > digits[w.starts]
+    known = np.zeros(len(count), bool)
+    for k in range(depth):
+        has = count > k
+        known[has] |= ~variable[begin[has] + k]
+    variable &= np.repeat(known, count)
     names = np.where(variable, _VARIABLE, w.names)
-    out, fixed = mix(count.astype(np.uint64)), np.zeros(len(count), bool)
+    leaf = mix(count.astype(np.uint64))
     for k in range(depth):
         has = count > k
-        at = begin[has] + k
-        out[has] = mix(out[has] * u64(0x9E3779B97F4A7C15) + names[at])
-        fixed[has] |= ~variable[at]
-    for k in np.flatnonzero(~fixed):  # nothing but variable words: only equal lines are alike
-        out[k] = one_sequence(w.names[begin[k] : begin[k] + count[k]])
-    return text[begin], newlines[begin], out
+        leaf[has] = mix(leaf[has] * u64(0x9E3779B97F4A7C15) + names[begin[has] + k])
+    place = (np.arange(len(row)) - np.repeat(begin, count)).astype(np.uint64)
+    placed = mix(names ^ mix(place + u64(1)))
+    line = mix(np.add.reduceat(placed, begin) + leaf) if len(begin) else leaf
+    short = np.where(variable, 0, np.maximum(w.names >> u64(48), u64(1))).astype("<u2")
+    ends = np.r_[begin, len(row)].astype(np.int64) * _PRINT
+    shape = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(short.tobytes())])
+    return Lines(text[begin], newlines[begin], leaf, line, shape)
+
+
+def _lines(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line of each document once."""
+    for batch in batches:
+        for rows, data, offsets in slices(batch):
+            found = parsed_lines(Words(data, offsets), depth)
+            order = np.lexsort((found.line, found.text))
+            text, line = found.text[order], found.line[order]
+            once = order[np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])][: len(text)]]
+            keys = rows.select(["doc_id", "text_key"]).take(pa.array(found.text[once]))
+            parts = [pa.array(signed(found.leaf[once])), pa.array(signed(found.line[once])), found.shape.take(pa.array(once)).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*keys.columns, *parts], ["doc_id", "text_key", "leaf", "line", "shape"])
 
 
-def _templates(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each template of each document once."""
+def _alike(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose ``shape`` and ``lead``, of equal lengths, have that percentage of their words in common."""
     for batch in batches:
-        for rows, data, offsets in slices(batch):
-            text, _, template = line_templates(Words(data, offsets), depth)
-            order = np.lexsort((template, text))
-            text, template = text[order], template[order]
-            new = np.r_[True, (text[1:] != text[:-1]) | (template[1:] != template[:-1])][: len(text)]
-            keys = rows.select(["doc_id", "text_key"]).take(pa.array(text[new]))
-            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(signed(template[new]))], ["doc_id", "text_key", "template"])
+        if not batch.num_rows:
+            continue
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2") for c in ("shape", "lead"))
+        size = np.array([len(x) // _PRINT for x in batch.column("shape").to_pylist()])
+        at = np.r_[0, np.cumsum(size)[:-1]]
+        fixed = (a != 0) | (b != 0)
+        same = np.add.reduceat((fixed & (a == b)).astype(np.int64), at)
+        alike = 100 * same >= percent * np.add.reduceat(fixed.astype(np.int64), at)
+        yield batch.select(["template", "line"]).filter(pa.array(alike))
+
+
+def _templates(lines: DataFrame, depth: int, percent: int) -> DataFrame:
+    """(template, line) of the distinct ``lines`` (leaf, line, docs, first, shape) that are like the leading one of a template."""
+    tail = F.greatest(F.length("shape") / _PRINT - depth, F.lit(0)).cast("int")
+    edge = lambda k: _PRINT * (depth + F.floor(tail * k / PARTS).cast("int"))
+    part = lambda k: F.expr("shape").substr(edge(k) + 1, edge(k + 1) - edge(k))
+    filled = lambda k: F.when(edge(k + 1) > edge(k), F.xxhash64("leaf", F.lit(k), part(k)))
+    keys = F.array_compact(F.array(F.xxhash64("leaf", "line"), *[filled(k) for k in range(PARTS)]))
+    keyed = lines.select(F.explode(keys).alias("template"), "line", "docs", "first", "shape")
+    rank = F.struct("docs", -F.coalesce("first", F.lit(2**63 - 1)), "line")
+    leads = keyed.groupBy("template").agg(F.max_by("shape", rank).alias("lead"))
+    pairs = keyed.join(leads, "template").select("template", "line", "shape", "lead")
+    return pairs.mapInArrow(partial(_alike, percent), "template long, line long")
 
 
 def _without(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the lines of their listed templates cut out, and how many lines there were and went."""
+    """Rows with their listed lines cut out, and how many lines there were and went."""
     for batch in batches:
         for rows, data, offsets in slices(batch):
-            text, newlines, template = line_templates(Words(data, offsets), depth)
+            text, newlines, _, line, _ = parsed_lines(Words(data, offsets), depth)
             first = np.searchsorted(text, np.arange(rows.num_rows + 1))
-            lists = rows.column("__templates")
+            lists = rows.column("__lines")
             kept, gone = rows.column("text").to_pylist(), np.zeros(rows.num_rows, np.int64)
             before = np.r_[0, np.cumsum(data == 10)]
             for t in np.flatnonzero(np.asarray(lists.is_valid())):
                 mine = slice(first[t], first[t + 1])
-                drop = np.isin(signed(template[mine]), lists[int(t)].values.to_numpy())
+                drop = np.isin(signed(line[mine]), lists[int(t)].values.to_numpy())
                 out = set((newlines[mine][drop] - before[offsets[t]]).tolist())
                 gone[t] = len(out)
-                kept[t] = "\n".join(line for k, line in enumerate(kept[t].split("\n")) if k not in out)
-            columns = {n: rows.column(n) for n in rows.schema.names if n != "__templates"}
+                kept[t] = "\n".join(x for k, x in enumerate(kept[t].split("\n")) if k not in out)
+            columns = {n: rows.column(n) for n in rows.schema.names if n != "__lines"}
             columns |= {"text": pa.array(kept, pa.string()), "n_lines": pa.array(np.diff(first)), "n_dropped": pa.array(gone)}
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, alike: int = ALIKE) -> DataFrame:
     """``docs`` without the lines of templates that at least ``min_docs`` documents have; adds n_lines and n_dropped.
 
-    The document of the smallest doc_id keeps its lines of a template (documents without doc_id never do). Lines without a
-    word are no template; they stay, as do all lines of a document in which nothing recurs, byte for byte. A null text
-    stays null. Every row is a document of its own, repeated rows too; rows of one doc_id and text get the same result. All
+    Lines of a template share number of words, leading words, and ``alike`` percent of the words without digits with its
+    leading line, position by position. Lines that are equal but for words with digits always share a template. The
+    document of the smallest doc_id keeps its lines of a template (documents without doc_id never do), unless they go
+    by another template, of which a document of a smaller one keeps its own. Lines without a word are no template; they stay,
+    as do all lines of a document in which nothing recurs, byte for byte. A null text stays null. Every row is a document of its own, repeated rows too; rows of one doc_id and text get the same result. All
     other columns are passed on; columns named n_lines or n_dropped are replaced. No rows give no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    have = keyed.mapInArrow(partial(_templates, depth), "doc_id long, text_key long, template long")
-    recurring = have.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    later = have.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first")) | F.col("doc_id").isNull())
-    lists = later.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("template").alias("__templates"))
+    found = keyed.mapInArrow(partial(_lines, depth), "doc_id long, text_key long, leaf long, line long, shape binary")
+    # Lines are counted before leaves, so that a leaf in every document is a few counts.
+    lines = settle(found.groupBy("leaf", "line", "shape").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")))
+    common = lines.groupBy(F.col("leaf").alias("__leaf")).agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("__leaf")
+    members = settle(_templates(lines.join(common, F.col("leaf") == F.col("__leaf"), "left_semi"), depth, alike))
+    reach = members.join(lines.select("line", "docs"), "line").groupBy("template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    members = members.join(reach.select("template"), "template", "left_semi")
+    # A document with several lines of a template counts once; rows that are equal count each.
+    have = keyed.mapInArrow(partial(_lines, depth), found.schema).groupBy("doc_id", "text_key", "line").agg(F.count("*").alias("rows"))
+    held = settle(have.join(members, "line"))
+    each = held.groupBy("template", "doc_id", "text_key").agg(F.max("rows").alias("rows"))
+    recurring = each.groupBy("template").agg(F.sum("rows").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
+    later = held.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first")) | F.col("doc_id").isNull())
+    lists = later.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.collect_set("line").alias("__lines"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     marked = docs.join(lists, same, "left").drop("__id", "__key")
     counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]

@@ -52,24 +52,43 @@ def kept_words(rows, window=20):
 
 
 def line_template(line, depth=6):
+    """The words of a line, None for those with a digit; if the leading ones all have one, the words as they are."""
     w = words(line)
-    variable = [bool(re.search("[0-9]", x)) for x in w]
-    if all(variable[:depth]):
-        return tuple(w)
-    return (len(w), *("*" if v else x for x, v in zip(w[:depth], variable, strict=False)))
+    masked = tuple(None if re.search("[0-9]", x) else x for x in w)
+    return masked if any(masked[:depth]) else tuple(w)
+
+
+def alike(a, b, percent=75):
+    fixed = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+    return 100 * sum(x == y for x, y in fixed) >= percent * len(fixed)
 
 
 def without_recurring_lines(rows, min_docs=5, depth=6):
+    """Texts by id, of rows with different ids: lines are compared with the most frequent line that has a quarter in common."""
     holders = {}
     for i, text in rows:
         for line in (text or "").split("\n"):
             if words(line):
                 holders.setdefault(line_template(line, depth), set()).add(i)
-    drop = {t: min(ids) for t, ids in holders.items() if len(ids) >= min_docs}
+    sharing = {}
+    for t in holders:
+        sharing.setdefault(("whole", t), []).append(t)
+        tail = max(0, len(t) - depth)
+        for k in range(4):
+            part = t[depth + tail * k // 4 : depth + tail * (k + 1) // 4]
+            if part:
+                sharing.setdefault((len(t), t[:depth], k, part), []).append(t)
+    drop = {}
+    for lines in sharing.values():
+        lead = max(lines, key=lambda t: (len(holders[t]), -min(holders[t])))
+        members = [t for t in lines if alike(t, lead)]
+        docs = set().union(*[holders[t] for t in members])
+        if len(docs) >= min_docs:
+            for t in members:
+                drop.setdefault(t, set()).update(holders[t] - {min(docs)})
     out = {}
     for i, text in rows:
-        kept = [x for x in (text or "").split("\n") if not words(x) or drop.get(line_template(x, depth), i) == i]
-        out[i] = "\n".join(kept)
+        out[i] = "\n".join(x for x in (text or "").split("\n") if not words(x) or i not in drop.get(line_template(x, depth), ()))
     return out
 
 

@@ -64,6 +64,30 @@ def test_line_dedup(spark, sample, odd):
     assert kept.columns == [*odd.columns, "n_lines", "n_dropped"] and kept.where("text IS NULL").count() == 1
 
 
+def test_line_dedup_tells_openings_from_lines(spark):
+    """Different lines that open alike stay; lines that differ in a word or a number are one template."""
+    tails = ["was heard today", "court found nothing", "bridge opened late", "school closed early", "river rose again"]
+    different = [(k, f"In the case of the new {t} {'abcde'[k] * 4} {'uvwxy'[k] * 3} end{'pqrst'[k]}") for k, t in enumerate(tails)]
+    boiler = "All rights of this text are kept by the people named below in {} and may not be sold on by anyone else 20{}"
+    shared = [(10 + k, f"own{k}\n" + boiler.format("part full some most each every".split()[k], 10 + k)) for k in range(6)]
+    rows = different + shared + [(None, boiler.format("any", 99))]
+    for parts in (1, 4):
+        got = line_dedup.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+        texts = {r.doc_id: r.text for r in got}
+        assert [texts[k] for k in range(5)] == [t for _, t in different]
+        assert texts[10] == shared[0][1] and [texts[10 + k] for k in range(1, 6)] == [f"own{k}" for k in range(1, 6)] and texts[None] == ""
+
+
+def test_line_dedup_counts_rows_once(spark):
+    """A document with several lines of a template is one; equal rows are one each."""
+    line = "Printed by the press of our old town on day {}"
+    many = [(k, "\n".join(line.format(x) for x in "first second third fourth fifth".split())) for k in range(2)]
+    assert all(r.n_dropped == 0 for r in line_dedup.drop_recurring_lines(spark.createDataFrame(many, SCHEMA)).collect())
+    equal = [(1, line.format(1))] + [(2, line.format(2))] * 4
+    got = line_dedup.drop_recurring_lines(spark.createDataFrame(equal, SCHEMA).repartition(2)).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0)] + [(2, 1)] * 4
+
+
 def test_decontaminate(spark, sample):
     items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     items += [(900, None), (901, ""), (902, "one"), (903, H.PASSAGE), (904, "P3 p4, p5 p6 P7 p8 p9 p10")]
