@@ -18,10 +18,8 @@ from commentlens.llm.common import WORD, settle, words
 
 #: Labelled rows that rules are fitted to at most; of more, an even share by a hash of the id.
 MAX_LABELLED = 200_000
-MAX_RULES = 8
-MAX_CONDITIONS = 4
-#: Thresholds tried for each statistic: so many quantiles of either class.
-QUANTILES = 16
+#: Thresholds tried for each statistic are quantiles of the rows left, of either class: even steps, and finer ones in the tails.
+SHARES = sorted({k / 16 for k in range(1, 16)} | {x for k in range(5, 11) for x in (2.0**-k, 1 - 2.0**-k)})
 MIN_PRECISION = 0.95
 MIN_COVERED = 3
 #: Statistics that rules may use.
@@ -99,8 +97,7 @@ def _all(rule: Rule) -> Column:
 
 
 def _cuts(rows: DataFrame) -> dict[str, list[float]]:
-    shares = [k / QUANTILES for k in range(1, QUANTILES)]
-    found = rows.groupBy("bad").agg(*[F.percentile_approx(_feature(f), shares, 1000).alias(f) for f in FEATURES]).collect()
+    found = rows.groupBy("bad").agg(*[F.percentile_approx(_feature(f), SHARES, 10_000).alias(f) for f in FEATURES]).collect()
     return {f: sorted({v for row in found for v in row[f]}) for f in FEATURES}
 
 
@@ -110,15 +107,18 @@ def _reached(cuts: list[float], value: Column) -> Column:
 
 
 def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
-    """Adds the condition of most information gain until only bad rows are covered or nothing gains."""
+    """Adds the condition of most information gain until only bad rows are covered or nothing gains.
+
+    Each condition leaves fewer good rows covered, so this ends.
+    """
     rule: Rule = []
-    while len(rule) < MAX_CONDITIONS:
+    while True:
         cells = [F.struct(F.lit(f).alias("f"), _reached(cuts[f], _feature(f)).alias("c")) for f in FEATURES]
         counted = rows.where(_all(rule)).select("bad", F.explode(F.array(*cells)).alias("x")).groupBy("x.f", "x.c")
         counts = {(f, c): (p, n) for f, c, p, n in counted.agg(F.sum("bad"), F.sum(1 - F.col("bad"))).collect()}
         total = [sum(v[k] for (f, _), v in counts.items() if f == FEATURES[0]) for k in (0, 1)]
         if not total[0] or not total[1]:
-            break
+            return rule
         best = (0.0, None)
         for f in FEATURES:
             for k, cut in enumerate(cuts[f]):
@@ -128,9 +128,8 @@ def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
                         gain = p * (math.log2(p / (p + n)) - math.log2(total[0] / sum(total)))
                         best = max(best, (gain, Condition(f, above, cut)), key=lambda x: x[0])
         if best[1] is None:
-            break
+            return rule
         rule.append(best[1])
-    return rule
 
 
 def _prune(rule: Rule, rows: DataFrame) -> tuple[Rule, int, int]:
@@ -141,21 +140,28 @@ def _prune(rule: Rule, rows: DataFrame) -> tuple[Rule, int, int]:
     return rule[:length], p, n
 
 
+def _share(doc_id: Column, share: float) -> Column:
+    """Whether an id is in that share of all ids."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < int(share * (1 << 20))
+
+
 def learn_rules(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Rules that cover bad rows, from statistics with a label ``bad`` (0 or 1; rows with another or no label are left out).
 
-    Each step counts in Spark and brings some hundred numbers to the driver. No bad or no good rows give no rules.
+    Covering ends when a grown rule isn't precise on the rows held back; each rule sets aside MIN_COVERED of them or more. Each
+    step counts in Spark and brings some hundred numbers to the driver. No bad or no good rows give no rules. Repeated label
+    rows count as often as they occur.
     """
     rows = labelled.where(F.col("bad").isin(0, 1))
     total = rows.count()
     if total > max_labelled:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_labelled / total * (1 << 20)))
+        rows = rows.where(_share(F.col("doc_id"), max_labelled / total))
     rows = settle(rows.select("bad", *_BASE, (F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3)) == 0).alias("held")))
     if rows.select("bad").distinct().count() < 2:
         return []
-    cuts, rules = _cuts(rows), []
-    while len(rules) < MAX_RULES:
-        rule = _grow(rows.where("not held"), cuts)
+    rules: list[Rule] = []
+    while True:
+        rule = _grow(rows.where("not held"), _cuts(rows))
         if not rule:
             break
         rule, p, n = _prune(rule, rows.where("held"))
@@ -180,6 +186,15 @@ def learn_from_labels(statistics: DataFrame, labels: DataFrame) -> list[Rule]:
     return learn_rules(statistics.join(quality, F.col("doc_id") == F.col("__id")))
 
 
+def _to_learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and text of documents with a label, of about ``max_labelled`` ids at most; so many ids fit a broadcast."""
+    ids = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__id")).distinct()
+    total = ids.count()
+    if total > max_labelled:
+        ids = ids.where(_share(F.col("__id"), max_labelled / total))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi")
+
+
 def judged(statistics: DataFrame, rules: list[Rule]) -> DataFrame:
     """Adds base_failed, kept and rule (that covers the row)."""
     out = statistics.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
@@ -195,7 +210,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = docs.select(*[F.col(c).alias(f"__doc_{k}") for k, c in enumerate(docs.columns)])
     at = {c: f"__doc_{k}" for k, c in enumerate(docs.columns)}
     with_text = held.withColumns({"text": F.col(at["text"]), "doc_id": F.col(at["doc_id"])})
-    rules = learn_from_labels(text_statistics(docs.select("doc_id", "text")).drop("text"), labels)
+    rules = learn_from_labels(text_statistics(_to_learn_from(docs, labels)).drop("text"), labels)
     # Statistics pass through a generator, or the filter below would be pushed into them and each computed many times.
     once = F.explode(F.array(F.struct(*_BASE))).alias("__statistics")
     known = text_statistics(with_text).select(*at.values(), once).select(*at.values(), "__statistics.*")

@@ -54,7 +54,8 @@ def test_stages(spark, tmp_path):
         if name == "quality rules":
             kept = {i: t for i, t in kept.items() if good(t)}
         elif name == "line dedup":
-            kept = H.without_recurring_lines(list(kept.items()))
+            left = H.without_recurring_lines(list(kept.items()))
+            kept = {i: t for i, t in left.items() if t == kept[i] or len(H.words(t)) >= corpus_pipeline.MIN_WORDS}
         elif name == "n-gram Jaccard join":
             root = H.components(list(kept.items()))
             kept = {i: t for i, t in kept.items() if root[i] == i}
@@ -82,9 +83,22 @@ def test_pipeline_over_odd_rows(spark, tmp_path):
 
 
 def test_near_duplicates_keep_one(spark):
-    rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j k l m")]
-    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    one, two = "a b c d e f g", "h i j k l m"
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, one), (1, one), (1, one), (2, two), (2, near), (None, near + " x"), (None, near + " y"), (None, "some text of its own kind")]
+    want = {(1, one), (2, two), (2, near), (None, "some text of its own kind"), (5, None), (6, "")}
+    docs = spark.createDataFrame([*rows, (5, None), (6, "")], "doc_id long, text string")
+    for parts in (1, 3):
+        got = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SF).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.text) for r in got} == want
+
+
+def test_emptied_documents_go(spark):
+    """Copies of which nothing is left go, and what lost nothing stays, be it short or empty."""
+    text = "\n".join(f"line {'abcdefgh'[k] * 3} of this text has just nine words" for k in range(4))
+    rows = [(k, text) for k in range(6)] + [(10, "short"), (11, ""), (12, None)] + [(20, text + "\n" + " ".join("own" * k for k in range(1, 13)))]
+    got = corpus_pipeline.line_templates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r.doc_id for r in got) == [0, 10, 11, 12, 20]
 
 
 def test_words_of_a_text(spark):
