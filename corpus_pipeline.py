@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from commentlens.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from commentlens.llm.common import shared_folder, table, words
 
+#: Words that a document must keep when lines are cut from it.
+MIN_WORDS = 10
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the list learned from labels rejects."""
@@ -20,20 +23,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; n_chars is that of what is left."""
-    left = line_dedup.drop_recurring_lines(docs).drop("n_lines", "n_dropped").select(docs.columns)
+    """Documents without recurring lines; n_chars is that of what is left.
+
+    Documents that this leaves with fewer than ``MIN_WORDS`` words go: what they had is in others. Untouched ones all stay.
+    """
+    left = line_dedup.drop_recurring_lines(docs)
+    left = left.where((F.col("n_dropped") == 0) | (F.size(words(F.col("text"))) >= MIN_WORDS)).select(docs.columns)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id, once.
+    """Of each group of near duplicates the document of the smallest doc_id (null last; ties by a hash of the text), once.
 
-    Rows without doc_id can't be told apart: they all stay, but for equal texts, of which one does.
+    A document is a doc_id with a text: rows that share a doc_id but not their text are judged apart, and so are rows without
+    doc_id. Of rows equal in both, one stays. Documents without words are in no group.
     """
-    groups = ngram_join.jaccard_components(docs)
-    losers = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(losers, F.col("doc_id") == F.col("__id"), "left_anti")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    groups = ngram_join.jaccard_components(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id")
+    ids = docs.select(key.alias("__key"), F.col("doc_id").cast("long").alias("__id")).distinct()
+    order = F.struct(F.col("__id").isNull(), "__id", "__key")
+    best = groups.distinct().join(ids, "__key").groupBy("component_id").agg(F.min_by("__key", order).alias("__key")).select("__key")
+    kept = docs.withColumn("__row", key).join(best, F.col("__row") == F.col("__key"), "left_semi")
+    return kept.dropDuplicates(["__row"]).drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
+    """All stages over the documents of a folder.
+
+    Null and empty texts are rejected by the first stage. A doc_id may be null or shared by several texts. No documents give no
+    rows; without labels only the base rules hold, without benchmark items nothing is contaminated.
+    """
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
