@@ -326,6 +326,14 @@ WITH {COMMENTS}, {POSTS} {_overall("max(CASE WHEN post_id = 'view' THEN min_spre
     "metrics_report": f"""
 WITH {COMMENTS}, {POSTS} {POST_ROW}
 UNION ALL BY NAME SELECT 'aggregated' AS post_id, * FROM ({_overall('min(min_spread)', 1)})""",
+    "authors_by_sketch": f"""
+WITH {COMMENTS} SELECT post_id, count(DISTINCT author) + max(CAST(author IS NULL AS INT)) AS unique_authors FROM comments GROUP BY post_id
+UNION ALL SELECT 'aggregated', count(DISTINCT author) + max(CAST(author IS NULL AS INT)) FROM comments""",
+    "authors_shared": f"""
+WITH {COMMENTS}, largest AS (SELECT post_id AS other FROM comments GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+known AS (SELECT DISTINCT author FROM comments JOIN largest ON post_id = other WHERE author IS NOT NULL)
+SELECT c.post_id, other, count(DISTINCT k.author) AS shared_authors
+FROM comments c CROSS JOIN largest LEFT JOIN known k USING (author) GROUP BY 1, 2""",
     "hourly_counts": f"""
 WITH {COMMENTS} SELECT post_id, date_trunc('hour', ts) AS hour, count(*) AS n
 FROM comments WHERE ts IS NOT NULL GROUP BY 1, 2""",

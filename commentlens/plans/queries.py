@@ -13,7 +13,7 @@ from commentlens.functions.cues import has_negation, is_blank
 from commentlens.functions.cues import text_cues as cues
 from commentlens.functions.labels import first_label, top_label
 from commentlens.functions.times import parse_comment_time
-from commentlens.operators import dynamics, evaluation, impact, naivebayes, rows, splits, stance, subwords, textmodel, training, triage
+from commentlens.operators import authors, dynamics, evaluation, impact, naivebayes, rows, splits, stance, subwords, textmodel, training, triage
 from commentlens.plans import adapters as A
 from commentlens.sources.ordinals import with_ord
 
@@ -59,6 +59,24 @@ def metrics_report(spark, sf):
     return dynamics.metrics_report(A.comments(spark, sf))
 
 
+@query
+def authors_by_sketch(spark, sf):
+    """Distinct authors per post and overall, from sketches per post and hour."""
+    hourly = authors.author_sketches(A.comments(spark, sf))
+    overall = authors.merged(hourly).withColumn("post_id", F.lit(dynamics.OVERALL))
+    return authors.counted(authors.merged(hourly, ["post_id"]).unionByName(overall))
+
+
+@query
+def authors_shared(spark, sf):
+    """Authors that each post shares with the most commented one."""
+    comments = A.comments(spark, sf)
+    per_post = authors.merged(authors.author_sketches(comments), ["post_id"])
+    counts = comments.groupBy("post_id").agg(F.count("*").alias("n"))
+    largest = counts.agg(F.max_by("post_id", F.struct("n", "post_id"))).scalar()
+    return authors.shared_authors(per_post, per_post.select("post_id", largest.alias("other")))
+
+
 @query
 def hourly_counts(spark, sf):
     return dynamics.hourly_counts(A.comments(spark, sf))
