@@ -114,16 +114,16 @@ def _alike(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         same = np.add.reduceat((fixed & (a == b)).astype(np.int64), at)
         opening = batch.column("opening").to_numpy()
         alike = 100 * (same + opening) >= percent * (np.add.reduceat(fixed.astype(np.int64), at) + opening)
-        yield batch.select(["template", "line"]).filter(pa.array(alike))
+        yield batch.select(["template", "line", "docs"]).filter(pa.array(alike))
 
 
 def _templates(lines: DataFrame, percent: int, min_docs: int) -> DataFrame:
-    """(template, line) of the distinct ``lines`` (leaf, line, opening, shape, docs, first), for templates that may recur.
+    """(template, line, docs) of the distinct ``lines`` (leaf, line, opening, shape, docs, first), for templates that may recur.
 
     A line that enough documents have is a template. A leaf of one line has no other; in the rest, lines with the same part are
     compared with the one that most documents have.
     """
-    alone = lines.where(F.col("docs") >= min_docs).select(F.xxhash64("leaf", "line").alias("template"), "line")
+    alone = lines.where(F.col("docs") >= min_docs).select(F.xxhash64("leaf", "line").alias("template"), "line", "docs")
     longer = lines.where(F.length("shape") > 0)
     several = (F.sum("docs") >= min_docs) & (F.count("*") > 1)
     leaves = longer.groupBy("leaf").agg(several.alias("several")).where("several").select("leaf")
@@ -137,11 +137,11 @@ def _templates(lines: DataFrame, percent: int, min_docs: int) -> DataFrame:
     keyed = looked_at.select(F.explode(keys).alias("template"), "line", "docs", "first")
     rank = F.struct("docs", -F.coalesce("first", F.lit(2**63 - 1)), "line")
     leads = keyed.groupBy("template").agg(F.max(rank)["line"].alias("leading"), several.alias("several")).where("several").drop("several")
-    pairs = settle(keyed.select("template", "line").join(leads, "template"))
-    shapes = lines.select("line", "opening", "shape")
+    pairs = settle(keyed.select("template", "line", "docs").join(leads, "template"))
+    shapes = looked_at.select("line", "opening", "shape")
     leading = pairs.select("template", "leading").distinct().join(shapes.select(F.col("line").alias("leading"), F.col("shape").alias("lead")), "leading")
-    compared = pairs.select("template", "line").join(shapes, "line").join(leading.select("template", "lead"), "template")
-    alike = compared.select("template", "line", "opening", "shape", "lead").mapInArrow(partial(_alike, percent), "template long, line long")
+    compared = pairs.drop("leading").join(shapes, "line").join(leading.select("template", "lead"), "template")
+    alike = compared.mapInArrow(partial(_alike, percent), pairs.drop("leading").schema)
     return alone.unionByName(alike)
 
 
@@ -181,8 +181,8 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MI
     # Lines are counted before leaves, so that a leaf in every document is a few counts.
     lines = settle(found.groupBy("leaf", "line", "opening", "shape").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")))
     members = settle(_templates(lines, alike, min_docs))
-    reach = members.join(lines.select("line", "docs"), "line").groupBy("template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
-    members = members.join(reach.select("template"), "template", "left_semi")
+    reach = members.groupBy("template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
+    members = members.drop("docs").join(reach.select("template"), "template", "left_semi")
 
     # A document with several lines of a template counts once; rows that are equal count each.
     salt = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int").alias("salt")
