@@ -11,7 +11,6 @@ from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
     IndexToString,
-    NGram,
     Normalizer,
     RegexTokenizer,
     SQLTransformer,
@@ -27,6 +26,11 @@ from commentlens import constants as C
 from commentlens.operators.training import frequent_tokens
 
 
+#: Words, then pairs of neighbouring ones. As the argument of a lambda function words are split off once wherever the optimizer puts this.
+_TERMS = """transform(array(words), w -> concat(w, zip_with(
+    slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, size(w)), (a, b) -> concat(a, ' ', b))))[0]"""
+
+
 class TextModel(Estimator):
     """Fits a ``PipelineModel`` from ``text`` and a string ``label`` to ``predicted`` and ``probability``.
 
@@ -42,7 +46,7 @@ class TextModel(Estimator):
     def features(self, dataset: DataFrame) -> tuple[list, DataFrame, int]:
         """Stages from text to unit TF-IDF vectors, the term counts they rest on (persisted), how many rows.
 
-        Texts are split once for the vocabulary and once for the counts.
+        Texts are split once for the vocabulary and once for the counts, by one expression each.
         """
         split = PipelineModel(
             [
@@ -50,8 +54,7 @@ class TextModel(Estimator):
                     inputCol=self.text, outputCol="words", gaps=False, toLowercase=True,
                     pattern=r"(?U)\b\w\w+\b",
                 ),
-                NGram(n=2, inputCol="words", outputCol="pairs"),
-                SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
+                SQLTransformer(statement=f"SELECT *, {_TERMS} AS terms FROM __THIS__"),
             ]
         )
         # At most max_features short strings come to the driver.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from commentlens import constants as C
 from commentlens import schemas as S
 from commentlens.operators import evaluation, stance, textmodel
-from commentlens.plans import flows
+from commentlens.plans import flows, queries
 from commentlens.sources import readers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -61,6 +61,28 @@ def test_certificate_like_plain_gradient(texts, spark, three):
     assert rows[1].objective - rows[1].gap < rows[0].objective
 
 
+def test_texts_are_split_once(model, texts):
+    plan = model.transform(texts).select("prediction")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(text") == 1
+
+
+def test_report_runs_the_model_once_a_row(spark, tmp_path):
+    rows = [(k, f"{'lovely sunny' if k % 3 else 'cold rain'} day {k % 7}", "en" if k % 2 else None, "s", 1) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(k, k % 3, None if k % 5 == 0 else int(k % 4 == 0)) for k in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    report = queries.text_model_report(spark, str(tmp_path))
+    assert "UDF" not in report._jdf.queryExecution().optimizedPlan().toString()
+    unseen = queries._labelled_texts(spark, str(tmp_path)).where("split = 'test'")
+    seen = [(r.predicted, r.label) for r in queries._fitted(spark, str(tmp_path)).transform(unseen).collect()]
+    assert len(seen) > 5
+    got = {r.label: (r.recall, r.support) for r in report.collect()}
+    for label in {actual for _, actual in seen}:
+        own = [p == a for p, a in seen if a == label]
+        assert got[label] == (round(sum(own) / len(own), 6), len(own))
+    assert got["accuracy"][1] == len(seen)
+
+
 def test_certificate_without_rows(model, texts):
     row = textmodel.certificate(model, texts.where("false")).first()
     assert row.n_rows == 0 and row.gradient is None
