@@ -30,11 +30,11 @@ from commentlens.llm.words import slices
 #: Steps of the merge in one piece.
 PIECE = 1 << 16
 #: Runs whose tokens a worker remembers, and those given to a tokenizer at once.
-REMEMBERED, AT_ONCE = 250_000, 4096
+REMEMBERED, AT_ONCE = 500_000, 4096
 #: How sentencepiece writes a space, also one that is in the text itself.
 _SPACE = "▁"
 #: A space that stands alone begins a run.
-_CUT = re.compile(rf"(?<=[^ {_SPACE}]) (?=[^\s{_SPACE}])")
+_CUT = re.compile(rf" (?<=[^ {_SPACE}] )(?=[^\s{_SPACE}])")
 #: Fixed value: how a byte-level tokenizer cuts a text in words.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -60,12 +60,30 @@ class ByteTokens:
         self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not said.get("normalizer")
 
         self.ranked = _ranked(said, self.bytes) if self.cuts else None
+        self.sizes = np.array([len(x) for x in self.bytes], np.int64)
 
     def encode(self, parts: list[str]) -> list[list[int]]:
         if self.ranked:
             return [self.ranked.encode_ordinary(" " + x) for x in parts]
         return [e.ids for e in self.tokenizer.encode_batch([" " + x for x in parts], add_special_tokens=False)]
 
+    def flat(self, parts: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of runs, of which each ends after so many bytes, and how many each run has. Runs that make a text cut between them go as one."""
+        if self.ranked:
+            text = " ".join(parts)
+            if len(_CUT.split(text)) == len(parts):
+                ids = self.ranked.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+                upto = np.cumsum(self.sizes[ids])
+                last = np.searchsorted(upto, ends)
+                if len(ids) and last[-1] == len(ids) - 1 and (upto[last] == ends).all():
+                    return ids, np.diff(last, prepend=-1)
+        return _flat(self.encode(parts))
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+
 
 def _ranked(said: dict, tokens: list[bytes]):
     """The same tokenizer in a library that is several times as fast, if ids follow the order of merges; else None."""
@@ -100,6 +118,9 @@ class PieceTokens:
     def encode(self, parts: list[str]) -> list[list[int]]:
         return self.model.encode(parts, num_threads=1)
 
+    def flat(self, parts: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.encode(parts))
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next one from 256 on."""
@@ -156,64 +177,99 @@ def overlaps(a: np.ndarray, b: np.ndarray, step: int = PIECE) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _objects(values: list[bytes]) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
 class _Aligner:
     """Both tokenizers of one worker, and the tokens of the runs that it has met."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = load(path_a), load(path_b)
         self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
+        self.bytes_a, self.bytes_b = (_objects(t.bytes) for t in (self.a, self.b))
         # Ids as they are written, before the next token of a group, and as the last one of theirs.
         self.text_a = np.array([f"{k}{c}" for c in ",|" for k in range(len(self.a.bytes))], object)
         self.text_b = np.array([f"{k}{c}" for c in ",;" for k in range(len(self.b.bytes))], object)
-        self.known: dict[str, tuple[list[int], list[int]] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        # The place of a run among those met, -1 if it doesn't come back; their tokens lie one behind the other.
+        self.known: dict[str, int] = {}
+        self.ids = [np.empty(0, np.int32)] * 2
+        self.first = [np.zeros(1, np.int64)] * 2
 
     def parts(self, text: str) -> list[str]:
         """The text cut in runs, each without the space that begins it."""
         return _CUT.split(text) if self.a.cuts and self.b.cuts else [text]
 
-    def learn(self, parts: list[str]) -> None:
-        """Tokens of runs; None for a run whose bytes either tokenizer changes."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def learn(self, parts: list[str], forget: bool = True) -> None:
+        """Tokens of runs; none for a run whose bytes either tokenizer changes."""
+        if forget and len(self.known) > REMEMBERED:
+            self.forget()
         new = [x for x in parts if x not in self.known]
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        n = len(self.first[0]) - 1
         for k in range(0, len(new), AT_ONCE):
             some = new[k : k + AT_ONCE]
-            a, b, runs = self.a.encode(some), self.b.encode(some), [b" " + x.encode() for x in some]
-            if self._come_back(a, b, runs):
-                self.known.update(zip(some, zip(a, b, strict=True), strict=True))
+            runs = [b" " + x.encode() for x in some]
+            ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+            both = [self.a.flat(some, ends), self.b.flat(some, ends)]
+            if self._come_back(both, b"".join(runs), ends):
+                self.known.update(zip(some, range(n, n + len(some)), strict=True))
             else:
-                self.known.update((x, (p, q) if self._come_back([p], [q], [r]) else None) for x, p, q, r in zip(some, a, b, runs, strict=True))
-
-    def _come_back(self, a: list[list[int]], b: list[list[int]], runs: list[bytes]) -> bool:
+                for x, run in zip(some, runs, strict=True):
+                    own = np.array([len(run)])
+                    alone = [self.a.flat([x], own), self.b.flat([x], own)]
+                    fits = self._come_back(alone, run, own)
+                    self.known[x] = n if fits else -1
+                    if fits:
+                        n += 1
+                        for tokens, one in zip(found, alone, strict=True):
+                            tokens.append(one)
+                continue
+            n += len(some)
+            for tokens, of_some in zip(found, both, strict=True):
+                tokens.append(of_some)
+        for k, more in enumerate(found):
+            if more:
+                self.ids[k] = np.concatenate([self.ids[k], *[ids.astype(np.int32) for ids, _ in more]])
+                self.first[k] = np.append(self.first[k], self.first[k][-1] + np.cumsum(np.concatenate([n for _, n in more])))
+
+    def _come_back(self, both: list[tuple[np.ndarray, np.ndarray]], want: bytes, ends: np.ndarray) -> bool:
         """Whether both tokenizers give every run back. Together they do if each has its length."""
-        want, sizes = b"".join(runs), [len(r) for r in runs]
-        for tokenizer, ids in ((self.a, a), (self.b, b)):
-            flat = [tokenizer.bytes[k] for k in chain.from_iterable(ids)]
-            upto = np.concatenate([[0], np.cumsum([len(x) for x in flat])])
-            each = np.diff(upto[np.concatenate([[0], np.cumsum([len(x) for x in ids])])])
-            if b"".join(flat) != want or each.tolist() != sizes:
+        for (ids, counts), sizes, spelled in zip(both, (self.size_a, self.size_b), (self.bytes_a, self.bytes_b), strict=True):
+            upto = np.concatenate([[0], np.cumsum(sizes[ids])])
+            if not np.array_equal(upto[np.cumsum(counts)], ends) or b"".join(spelled[ids].tolist()) != want:
                 return False
         return True
 
+    def tokens(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs at their places, those of A (``k`` = 0) or of B, and how many each has."""
+        n = np.where(at < 0, 0, self.first[k][at + 1] - self.first[k][at])
+        begin = np.cumsum(n) - n
+        return self.ids[k][np.repeat(self.first[k][at] - begin, n) + np.arange(n.sum())].astype(np.int64), n
+
     def slice(self, texts: list[str | None]) -> dict:
         """Figures of every text, and what the texts hold of each run and pair."""
         cut = [self.parts(t) if t else [] for t in texts]
         place = {x: k for k, x in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
         runs = [list(map(place.__getitem__, here)) for here in cut]
         self.learn(list(place))
-        odd = np.array([self.known[x] is None for x in place], bool)
+        odd = np.fromiter((self.known[x] < 0 for x in place), bool, len(place))
         if odd.any():  # a run that doesn't come back may do so in its whole text
             touched = [k for k, here in enumerate(runs) if odd[here].any()]
             whole = {k: place.setdefault(texts[k], len(place)) for k in touched}
-            self.learn([texts[k] for k in touched])
+            self.learn([texts[k] for k in touched], forget=False)
             for k in touched:
-                runs[k] = [whole[k]] if self.known[texts[k]] is not None else []
-        tokens = [self.known[x] or ([], []) for x in place]
-        n_a, n_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-        a, b = (np.fromiter(chain.from_iterable(t[k] for t in tokens), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+                runs[k] = [whole[k]] if self.known[texts[k]] >= 0 else []
+        at = np.fromiter(map(self.known.__getitem__, place), np.int64, len(place))
+        (a, n_a), (b, n_b) = self.tokens(at, 0), self.tokens(at, 1)
         at_a, at_b, closes = overlaps(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
-        run_of = np.repeat(np.arange(len(tokens)), n_a)[at_a]
-        n_links, n_groups = np.bincount(run_of, minlength=len(tokens)), np.bincount(run_of[closes], minlength=len(tokens))
+        run_of = np.repeat(np.arange(len(at)), n_a)[at_a]
+        n_links, n_groups = np.bincount(run_of, minlength=len(at)), np.bincount(run_of[closes], minlength=len(at))
         written = self._written(a, b, at_a[closes], at_b[closes], n_a + n_b)
         docs = np.repeat(np.arange(len(texts)), [len(r) for r in runs])
         flat = np.fromiter(chain.from_iterable(runs), np.int64, len(docs))
@@ -221,8 +277,8 @@ class _Aligner:
         sums = {"n_a": total(n_a), "n_b": total(n_b), "n_groups": total(n_groups), "n_links": total(n_links)}
         sums["groups_sha256"] = [hashlib.sha256("".join([written[k] for k in r])[:-1].encode()).hexdigest() if r else "" for r in runs]
         # What the slice holds: runs of a text, pairs of a run, and how many texts hold each pair.
-        entries, times = np.unique(docs * len(tokens) + flat, return_counts=True)
-        doc, run = np.divmod(entries, max(1, len(tokens)))
+        entries, times = np.unique(docs * len(at) + flat, return_counts=True)
+        doc, run = np.divmod(entries, max(1, len(at)))
         pairs, pair = np.unique(a[at_a] << 32 | b[at_b], return_inverse=True)
         first = np.concatenate([[0], np.cumsum(n_links)])
         count = n_links[run]

@@ -128,3 +128,28 @@ def test_one_slice_or_many(spark, monkeypatch):
     texts = [(k, f"word{k % 7} and ünï{k % 3} again {k}") for k in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(9)
     assert rows_of(alignment.align(docs, A, B)) == rows_of(alignment.align(docs.coalesce(1), A, B))
+
+
+def test_clean_runs_go_to_the_tokenizer_as_one_text(both, monkeypatch):
+    aligner, calls = alignment._Aligner(A, B), []
+    monkeypatch.setattr(aligner.a, "encode", lambda parts: calls.append(parts) or both[0].encode(parts))
+    aligner.learn(parts := [f"run{k}" for k in range(50)])
+    assert calls == []
+    ids, counts = aligner.tokens(np.array([aligner.known[x] for x in parts]), 0)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == both[0].encode(parts)
+    aligner.learn(odd := ["plain", " begins", "ends ", "more"])
+    ids, counts = aligner.tokens(np.array([aligner.known[x] for x in odd]), 0)
+    assert calls and [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == both[0].encode(odd)
+
+
+def test_forgotten_runs_are_met_again(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 3)
+    few, many = alignment._Aligner(A, B), alignment._Aligner(A, B)
+    monkeypatch.setattr(many, "forget", None)
+    for k in range(4):
+        texts = [f"a text of run{k}  and▁x", f" run{k - 1}  twice", None]
+        monkeypatch.setattr(alignment, "REMEMBERED", 3)
+        some = few.slice(texts)
+        monkeypatch.setattr(alignment, "REMEMBERED", 10**6)
+        other = many.slice(texts)
+        assert some["n_links"].tolist() == other["n_links"].tolist() and some["groups_sha256"] == other["groups_sha256"]
