@@ -7,10 +7,11 @@ are as many as parameters say and travel to the tasks; words and texts stay wher
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from commentlens.operators.training import tokens
 #: Marks the symbol that begins a word.
 START = "▁"
 ROUNDS, PAIRS_PER_ROUND = 12, 64
-#: Words whose symbols a task remembers.
+#: Words whose symbols a task remembers, and pairs that it counts before it passes them on.
 REMEMBERED = 100_000
 
 Round = dict[tuple[str, str], int]
@@ -77,14 +78,33 @@ class Subwords:
         return spark.createDataFrame(self.entries(), "token string, n bigint, round int, token_id int")
 
 
-def _split(model: Subwords) -> Column:
-    """A column function: the symbols of every word."""
+def _counted(words: DataFrame, model: Subwords, width: int) -> DataFrame:
+    """How often symbols (``width`` 1: a) or pairs of neighbouring ones (2: a, b) occur in words that each count ``n`` times.
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def symbols(words: pd.Series) -> pd.Series:
-        return words.map(model.symbols)
+    Words are counted as they are split: what leaves Python is a row for each symbol or pair and ``REMEMBERED`` of them at a time, which is also the most that a
+    task holds.
+    """
+    names = ["a", "b"][:width]
+    schema = pa.schema([*[(c, pa.string()) for c in names], ("n", pa.int64())])
+
+    def rows(found: dict[tuple[str, ...], int]) -> pa.RecordBatch:
+        columns = zip(*found) if found else [()] * width
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], pa.array(found.values(), pa.int64())], schema=schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, ...], int] = {}
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                symbols = model.symbols(word)
+                for key in zip(symbols, symbols[1:]) if width == 2 else zip(symbols):
+                    found[key] = found.get(key, 0) + n
+                if len(found) >= REMEMBERED:
+                    yield rows(found)
+                    found.clear()
+        yield rows(found)
 
-    return symbols
+    counted = words.select("word", "n").mapInArrow(count, ", ".join([*[f"{c} string" for c in names], "n bigint"]))
+    return counted.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def learn_subwords(df: DataFrame, col: str = "text", rounds: int = ROUNDS, per_round: int = PAIRS_PER_ROUND, min_count: int = 2) -> Subwords:
@@ -99,8 +119,8 @@ def learn_subwords(df: DataFrame, col: str = "text", rounds: int = ROUNDS, per_r
         df.select(F.explode_outer(tokens(F.col(col))).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")).persist()
     )
     try:
-        first = words.select("n", F.explode(_split(Subwords({}, ()))("word")).alias("symbol")).groupBy("symbol").agg(F.sum("n").alias("n"))
-        alphabet = {r.symbol: r.n for r in first.orderBy(F.col("n").desc(), "symbol").toLocalIterator()}
+        first = _counted(words, Subwords({}, ()), 1)
+        alphabet = {r.a: r.n for r in first.orderBy(F.col("n").desc(), "a").toLocalIterator()}
         taken: list[Round] = []
         for _ in range(rounds):
             pairs = _best_pairs(words, Subwords(alphabet, tuple(taken)), per_round, min_count)
@@ -113,9 +133,7 @@ def learn_subwords(df: DataFrame, col: str = "text", rounds: int = ROUNDS, per_r
 
 
 def _best_pairs(words: DataFrame, model: Subwords, limit: int, min_count: int) -> Round:
-    split = words.select("n", _split(model)("word").alias("s"))
-    neighbours = F.arrays_zip(F.expr("slice(s, 1, size(s) - 1)").alias("a"), F.expr("slice(s, 2, size(s) - 1)").alias("b"))
-    counted = split.where("size(s) > 1").select("n", F.explode(neighbours).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+    counted = _counted(words, model, 2)
     # A row for each pair of symbols, looked at from three sides; words are split once.
     ranked = counted.select("a", "b", "n", F.struct((-F.col("n")).alias("n"), "a", "b").alias("rank")).persist()
     try:

@@ -109,3 +109,13 @@ def test_too_short_for_the_marks(spark):
 def test_encoding_shuffles_nothing(spark):
     plan = subwords.encode_subwords(spark.range(3).select(F.col("id").cast("string").alias("text")), subwords.Subwords({"a": 1}, ()))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+def test_pairs_leave_python_counted(spark, monkeypatch):
+    words = spark.createDataFrame([("abab", 2), ("ab", 3), ("b", 5)], "word string, n bigint").coalesce(1)
+    assert "ArrowEvalPython" not in (plan := subwords._counted(words, subwords.Subwords({}, ()), 2)._jdf.queryExecution().executedPlan().toString()) and "MapInArrow" in plan
+    want = {("▁a", "b"): 5, ("b", "a"): 2, ("a", "b"): 2}
+    for held in (1, 2, 1000):
+        monkeypatch.setattr(subwords, "REMEMBERED", held)
+        assert {(r.a, r.b): r.n for r in subwords._counted(words, subwords.Subwords({}, ()), 2).collect()} == want
+        assert {r.a: r.n for r in subwords._counted(words, subwords.Subwords({}, ()), 1).collect()} == {"▁a": 5, "b": 7 + 2, "a": 2, "▁b": 5}
