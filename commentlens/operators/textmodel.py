@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import (
@@ -25,12 +30,96 @@ from pyspark.sql import functions as F
 from commentlens import constants as C
 from commentlens.operators.training import frequent_tokens
 
+#: Words that a task holds before it passes their counts on, and words asked for beyond those needed to find all that are frequent enough.
+_HELD, _MORE = 2**21, 2
+#: Rows that a task of the regression reads in every iteration, if more than a few tasks a core would be needed else.
+_LEARNED = 50_000
 
 #: Words, then pairs of neighbouring ones. As the argument of a lambda function words are split off once wherever the optimizer puts this.
 _TERMS = """transform(array(words), w -> concat(w, zip_with(
     slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, size(w)), (a, b) -> concat(a, ' ', b))))[0]"""
 
 
+def _countable(pairs: Sequence[str]) -> str:
+    """Words, then those pairs of neighbouring ones whose words begin and end one of ``pairs``: few of all are ever put together."""
+    if not pairs:
+        return "words"
+    # Words are letters, digits and the like: there is nothing to escape in them.
+    first, second = (", ".join(sorted({f"'{p.split(' ')[k]}'" for p in pairs})) for k in (0, 1))
+    return f"""transform(array(words), w -> concat(w, array_compact(transform(w, (a, i) ->
+        if(a IN ({first}) AND get(w, i + 1) IN ({second}), concat(a, ' ', get(w, i + 1)), NULL)))))[0]"""
+
+
+def _in_parts(arrays: Iterable, size: int) -> Iterator[list]:
+    """The arrays in lists of ``size`` elements or a little more together; the last list may be shorter."""
+    held, n = [], 0
+    for array in arrays:
+        held.append(array)
+        n += len(array)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, n for every part of the words."""
+    for part in _in_parts((batch.column("words").flatten() for batch in batches), _HELD):
+        counts = pc.value_counts(pa.chunked_array(part))
+        yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["token", "n"])
+
+
+def _pair_counter(words: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts pairs of neighbours that are both in ``words``, as pair (place of the first * number of words + place of the second), n."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        known = pa.array(words, pa.string())
+        for batch in batches:
+            texts = batch.column("words")
+            found = pc.index_in(texts.flatten().cast(pa.string()), known)
+            places = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype("int64")
+            both = (places[:-1] >= 0) & (places[1:] >= 0)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
+            both[ends[(ends > 0) & (ends < len(places))] - 1] = False  # a text's last word and the next one's first
+            yield places[:-1][both] * len(words) + places[1:][both]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _in_parts(pairs(batches), _HELD):
+            pair, n = np.unique(np.concatenate(part), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+
+    return count
+
+
+def frequent_terms(split: DataFrame, size: int) -> list[str]:
+    """The ``size`` most frequent of words and pairs of neighbouring words, given an array column ``words``; equal ones alphabetically.
+
+    A pair is no more frequent than either of its words, so only pairs of words that are as frequent as the word in place ``size`` are
+    counted, by the places of their words. ``_MORE * size`` words at most come to the driver. Where more than these are that frequent,
+    all terms are counted as they are.
+    """
+    spark = split.sparkSession
+    texts = split.select("words")  # a batch of texts at a time goes to Python, which is far cheaper than a row a word
+    words = texts.mapInArrow(_count_words, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = words.orderBy(F.col("n").desc(), "token").limit(_MORE * size).collect()
+    least = top[size - 1].n if len(top) >= size else 1
+    if len(top) == _MORE * size and top[-1].n == least:
+        return [r.token for r in frequent_tokens(split.selectExpr(f"{_TERMS} AS terms"), F.col("terms"), size).collect()]
+    often = [r for r in top if r.n >= least]
+    if not often:
+        return []
+    counter = _pair_counter([r.token for r in often])
+    pairs = texts.mapInArrow(counter, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    singles = spark.createDataFrame([(k, r.token, r.n) for k, r in enumerate(often)], "place bigint, token string, n bigint")
+    place = F.col("pair") % len(often)
+    for name, at in (("second", place), ("first", (F.col("pair") - place) / len(often))):
+        named = F.broadcast(singles.select(F.col("place").alias(f"{name}_at"), F.col("token").alias(name)))
+        pairs = pairs.withColumn(f"{name}_at", at.cast("bigint")).join(named, f"{name}_at")
+    terms = singles.select("token", "n").unionByName(pairs.select(F.concat("first", F.lit(" "), "second").alias("token"), "n"))
+    return [r.token for r in terms.orderBy(F.col("n").desc(), "token").limit(size).collect()]
+
+
 class TextModel(Estimator):
     """Fits a ``PipelineModel`` from ``text`` and a string ``label`` to ``predicted`` and ``probability``.
 
@@ -46,31 +135,29 @@ class TextModel(Estimator):
     def features(self, dataset: DataFrame) -> tuple[list, DataFrame, int]:
         """Stages from text to unit TF-IDF vectors, the term counts they rest on (persisted), how many rows.
 
-        Texts are split once for the vocabulary and once for the counts, by one expression each.
+        Rows are gathered once and kept on disk while their texts are split: for the words, for pairs of the frequent ones, for the counts.
         """
-        split = PipelineModel(
-            [
-                RegexTokenizer(
-                    inputCol=self.text, outputCol="words", gaps=False, toLowercase=True,
-                    pattern=r"(?U)\b\w\w+\b",
-                ),
-                SQLTransformer(statement=f"SELECT *, {_TERMS} AS terms FROM __THIS__"),
-            ]
-        )
-        # At most max_features short strings come to the driver.
-        top = frequent_tokens(split.transform(dataset), F.col("terms"), self.max_features)
-        counter = CountVectorizerModel.from_vocabulary(
-            [r.token for r in top.collect()], inputCol="terms", outputCol="counts"
-        )
+        kept = dataset.storageLevel
+        if not (kept.useMemory or kept.useDisk):
+            dataset = dataset.persist(StorageLevel.DISK_ONLY)
+        # A run of word characters is taken whole, so that it needs no test of its ends.
+        words = RegexTokenizer(inputCol=self.text, outputCol="words", gaps=False, toLowercase=True, pattern=r"(?U)\w\w+")
+        # At most a few times max_features short strings come to the driver.
+        vocabulary = frequent_terms(words.transform(dataset), self.max_features)
+        countable = _countable([term for term in vocabulary if " " in term])
+        terms = SQLTransformer(statement=f"SELECT *, {_TERMS} AS terms, {countable} AS countable FROM __THIS__")
+        counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="countable", outputCol="counts")
         # Narrow and used by two fits; everything wide is left behind. Lost parts are computed again.
         others = [c for c in dataset.columns if c != self.text]
-        rows = counter.transform(split.transform(dataset)).select(*others, "counts").persist()
+        rows = PipelineModel([words, terms, counter]).transform(dataset).select(*others, "counts").persist()
         idf = IDF(inputCol="counts", outputCol="unused").fit(rows)
         weights = ElementwiseProduct(
             inputCol="counts", outputCol="weighted", scalingVec=DenseVector(idf.idf.toArray() + 1.0)
         )
         unit = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-        return [*split.stages, counter, weights, unit], rows, idf.numDocs
+        if not (kept.useMemory or kept.useDisk):
+            dataset.unpersist()
+        return [words, terms, counter, weights, unit], rows, idf.numDocs
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         stages, rows, n = self.features(dataset.select(self.text, self.label))
@@ -78,10 +165,12 @@ class TextModel(Estimator):
             inputCol=self.label, outputCol="target", stringOrderType="alphabetAsc"
         ).fit(rows)
         training = PipelineModel([numbered, *stages[-2:]]).transform(rows)
+        # Every task sends a gradient of all coefficients in every iteration.
+        tasks = max(2 * dataset.sparkSession.sparkContext.defaultParallelism, math.ceil(n / _LEARNED))
         classifier = LogisticRegression(
             featuresCol="features", labelCol="target", maxIter=self.max_iter, tol=C.TOLERANCE,
             regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
-        ).fit(training)
+        ).fit(training.coalesce(tasks))
         rows.unpersist()
         named = IndexToString(inputCol="prediction", outputCol="predicted", labels=numbered.labels)
         return PipelineModel([*stages, classifier, named])

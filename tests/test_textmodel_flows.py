@@ -1,6 +1,9 @@
+import re
 import sys
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -66,6 +69,54 @@ def test_texts_are_split_once(model, texts):
     assert plan.count("UDF(text") == 1
 
 
+def _plain_terms(texts, size):
+    counts = Counter()
+    for text in texts:
+        words = re.findall(r"\b\w\w+\b", text.lower())
+        counts.update(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+    return [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:size]]
+
+
+@pytest.mark.parametrize("size", [3, 20, 45, 60, 5000])
+def test_frequent_terms_like_plain_counts(spark, size):
+    draw = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(30)] + ["a", "été", "ß_x", "0", "x9"]
+    odds = 1 / np.arange(1, len(words) + 1)
+    texts = [", ".join(draw.choice(words, draw.integers(0, 40), p=odds / odds.sum())) for _ in range(200)] + ["", "W1", "a - 0", "W1 W0.", " W1\tw0"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    split = textmodel.RegexTokenizer(inputCol="text", outputCol="words", gaps=False, pattern=r"(?U)\w\w+").transform(df)
+    assert textmodel.frequent_terms(split, size) == _plain_terms(texts, size)
+
+
+@pytest.mark.parametrize(("texts", "size"), [(["aa bb cc dd ee ff gg hh"], 3), (["zz aa", "zz aa", "yy", "yy", "bb", "bb", "cc cc"], 2), ([" "], 4)])
+def test_frequent_terms_where_many_are_equal(spark, texts, size):
+    split = spark.createDataFrame([(t.split(),) for t in texts] + [(None,)], "words array<string>")
+    assert textmodel.frequent_terms(split, size) == _plain_terms(texts, size)
+
+
+def test_pairs_stay_within_their_text(monkeypatch):
+    monkeypatch.setattr(textmodel, "_HELD", 2)
+    texts = [["b", "a"], [], ["a", "x", "a", "b"], None, ["b"], ["a", "b", "b"], []]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.list_(pa.string()))], ["words"]) for t in (texts[:3], texts[3:], [], [None], [[]])]
+    counted = Counter()
+    for batch in textmodel._pair_counter(["a", "b"])(iter(batches)):
+        for row in batch.to_pylist():
+            counted[divmod(row["pair"], 2)] += row["n"]
+    assert counted == {(1, 0): 1, (0, 1): 2, (1, 1): 1}
+    words = Counter()
+    for batch in textmodel._count_words(iter(batches)):
+        for row in batch.to_pylist():
+            words[row["token"]] += row["n"]
+    assert words == {"a": 4, "b": 5, "x": 1}
+
+
+def test_only_pairs_that_may_count_are_put_together(model, spark):
+    row = model.transform(spark.createDataFrame([("rain lovely sea storm cold rain",)], "text string")).first()
+    first, second = ({t.split(" ")[k] for t in model.stages[2].vocabulary if " " in t} for k in (0, 1))
+    made = [t for t in row.terms if " " not in t or (t.split(" ")[0] in first and t.split(" ")[1] in second)]
+    assert row.countable == made and {"lovely sea", "cold rain"} <= set(made) and "sea storm" not in made
+
+
 def test_report_runs_the_model_once_a_row(spark, tmp_path):
     rows = [(k, f"{'lovely sunny' if k % 3 else 'cold rain'} day {k % 7}", "en" if k % 2 else None, "s", 1) for k in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
